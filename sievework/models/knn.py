@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import scalars as S
@@ -30,9 +30,11 @@ def classify(
     known = train.select(F.col(label).alias("_label"), key, *features)
     lists = neighbors.neighbor_lists(known, test, features, key, k, (), ["_label"], cell_rows)
     voted = neighbors.attach_neighbors(test, lists, features, key)
-    votes = [
-        F.size(F.filter("neighbors", lambda s, c=c: s["_label"] == F.lit(c))) for c in classes
-    ]
+
+    def votes_for(c: Any) -> Column:
+        return F.size(F.filter("neighbors", lambda s: s["_label"] == F.lit(c)))
+
+    votes = [votes_for(c) for c in classes]
     out = voted.withColumn("prediction", S.argmax_first(votes, classes))
     if proba:
         share = [F.try_divide(v.cast("double"), F.size("neighbors").cast("double")) for v in votes]
