@@ -234,9 +234,8 @@ FROM test t, gstat g, gwide w, (VALUES {_SMOOTH_ROWS}) AS v(candidate_id, smooth
 )
 def gnb_var_smoothing(spark, sf):
     train, test = _train_test(spark, sf)
-    fits = {0: gnb.fit(train, FEATURES, "label")}
-    one = test.withColumn("part", F.lit(0))
-    out = gnb.predict_candidates(one, fits, "part", dict(enumerate(_SMOOTHINGS)))
+    model = gnb.fit(train, FEATURES, "label")
+    out = gnb.predict_smoothings(test, model, dict(enumerate(_SMOOTHINGS)))
     return out.select("id", "candidate_id", "prediction")
 
 

@@ -128,6 +128,22 @@ def predict(
     return scored.drop(*names)
 
 
+def predict_smoothings(
+    df: DataFrame, model: GaussianFit, smoothings: Mapping[int, float]
+) -> DataFrame:
+    """Each row once per smoothing candidate of one fit: ``candidate_id`` and ``prediction``."""
+    guesses = F.array(
+        *[
+            F.struct(
+                F.lit(candidate).alias("candidate_id"),
+                S.argmax_first(log_scores(model, v), model.classes).alias("prediction"),
+            )
+            for candidate, v in smoothings.items()
+        ]
+    )
+    return df.select(*df.columns, F.inline(guesses))
+
+
 def predict_candidates(
     df: DataFrame,
     fits: Mapping[Any, GaussianFit],
@@ -137,7 +153,8 @@ def predict_candidates(
     """Predictions of every smoothing candidate, each row by the fit of its own ``part``.
 
     The parameters become one row per (part, candidate): as many as folds x candidates, so they
-    are broadcast. Adds ``candidate_id`` and ``prediction``.
+    are broadcast. Adds ``candidate_id`` and ``prediction``. For a single fit score the candidates
+    with :func:`predict_smoothings`.
     """
     classes = sorted({c for m in fits.values() for c in m.classes})
     features = next(iter(fits.values())).features

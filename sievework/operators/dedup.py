@@ -15,8 +15,8 @@ def duplicate_count(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     Equal rows are counted map-side first, so a row repeated everywhere moves one record per
     task.
     """
-    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+    groups = df.groupBy(*(columns or df.columns)).agg(F.count(F.lit(1)).alias("_copies"))
+    return groups.agg(F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:

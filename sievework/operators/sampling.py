@@ -23,7 +23,9 @@ from sievework.functions.portable import SEED
 from sievework.operators import profile
 
 _HASH = "_hash"
-_STEP = 2  # hex digits per round: at most 256 counts per (class, rank)
+_STEP = 2  # hex digits per round: at most 256 counts per class and open prefix
+_LONG_STEP = 4  # on very large classes, where saving a pass is worth 65536 counts
+_LARGE = 20_000_000
 _FEW = 512  # rows sharing a prefix that may be listed
 
 
@@ -40,6 +42,7 @@ def _hash_at_ranks(hashed: DataFrame, label: str, ranks: Mapping[Any, set[int]])
     found: dict[tuple[Any, int], str] = {}
     # Prefix searched, rows of the class sorting before it, ranks inside it.
     open_ = [(c, "", 0, set(rs)) for c, rs in ranks.items() if rs]
+    step = _LONG_STEP if open_ and max(max(rs) for *_, rs in open_) > _LARGE else _STEP
     while open_:
         depth = len(open_[0][1])
         inside = reduce(
@@ -48,7 +51,7 @@ def _hash_at_ranks(hashed: DataFrame, label: str, ranks: Mapping[Any, set[int]])
         )
         counts = (
             hashed.where(inside)
-            .groupBy(label, F.substring(_HASH, 1, depth + _STEP).alias("prefix"))
+            .groupBy(label, F.substring(_HASH, 1, depth + step).alias("prefix"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
@@ -59,7 +62,7 @@ def _hash_at_ranks(hashed: DataFrame, label: str, ranks: Mapping[Any, set[int]])
             for row in sorted(mine, key=lambda r: r["prefix"]):
                 hit = {r for r in wanted if seen < r <= seen + row["n"]}
                 if hit:
-                    few = row["n"] <= _FEW or depth + _STEP >= 32
+                    few = row["n"] <= _FEW or depth + step >= 32
                     (short if few else following).append((c, row["prefix"], seen, hit))
                 seen += row["n"]
         if short:
@@ -127,12 +130,14 @@ def stratified_split(
     quota = test_quotas(sizes, test_size)
     wanted = {c: {q} for c, q in quota.items() if q > 0}
     last = _hash_at_ranks(_hashed(df, label, keys, "split", seed), label, wanted)
-    h = portable.hash_hex("split", *keys, seed=seed)
+    # A column of its own: compared several times, hashed once.
+    h = F.col(_HASH)
     in_test = F.lit(False)
     for c, q in quota.items():
         if q > 0:
             in_test = F.when(F.col(label) == F.lit(c), h <= F.lit(last[(c, q)])).otherwise(in_test)
-    return df.withColumn(name, in_test.cast("int"))
+    hashed = df.withColumn(_HASH, portable.hash_hex("split", *keys, seed=seed))
+    return hashed.withColumn(name, in_test.cast("int")).drop(_HASH)
 
 
 def train_part(split: DataFrame, name: str = "is_test") -> DataFrame:
@@ -159,7 +164,7 @@ def stratified_kfold(
     ends = {c: [sum(q[: f + 1]) for f in range(k)] for c, q in quotas.items()}
     wanted = {c: {e for e in es[:-1] if 0 < e < sizes[c]} for c, es in ends.items()}
     at = _hash_at_ranks(_hashed(df, label, keys, "fold", seed), label, wanted)
-    h = portable.hash_hex("fold", *keys, seed=seed)
+    h = F.col(_HASH)
     fold = F.lit(None).cast("int")
     for c, es in ends.items():
         # The first fold whose last rank is not before this row; rows past all ends: last fold.
@@ -168,7 +173,8 @@ def stratified_kfold(
             if quotas[c][f] and (c, es[f]) in at:
                 mine = F.when(h <= F.lit(at[(c, es[f])]), F.lit(f)).otherwise(mine)
         fold = F.when(F.col(label) == F.lit(c), mine).otherwise(fold)
-    return df.withColumn(name, fold)
+    hashed = df.withColumn(_HASH, portable.hash_hex("fold", *keys, seed=seed))
+    return hashed.withColumn(name, fold).drop(_HASH)
 
 
 def dense_numbers(

@@ -71,7 +71,8 @@ def smote(
     plan = spark.createDataFrame(
         lacking_rows, T.StructType([*group_schema.fields, T.StructField("_size", T.LongType())])
     )
-    minority = df.join(F.broadcast(plan.drop("_size")), group)
+    # Read several times below; written once so the input is not scanned each time.
+    minority = materialize(df.join(F.broadcast(plan.drop("_size")), group), "minority")
     near = neighbors.knn_within_group(minority, features, key, k, group, cell_rows)
     total = sum(n for _, _, n, _ in lacking)
     numbered = sampling.dense_numbers(near, group, [*group, key], "smote", total, "_base", seed)

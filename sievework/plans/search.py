@@ -237,10 +237,14 @@ def search_tree(
     assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     target = F.col(label).cast("double").alias("_label")
     training = materialize(
-        assemble.transform(prepared.training).select("left_out", "_features", target), "tree-training"
+        assemble.transform(prepared.training).select("_features", target, "left_out"),
+        "tree-training",
+        ["left_out"],
     )
     validation = materialize(
-        assemble.transform(prepared.validation).select("fold", "_features", target), "tree-validation"
+        assemble.transform(prepared.validation).select("_features", target, "fold"),
+        "tree-validation",
+        ["fold"],
     )
     spark = training.sparkSession
 

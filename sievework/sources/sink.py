@@ -38,7 +38,8 @@ def to_report_names(df: DataFrame, names: Mapping[str, str] = REPORT_NAMES) -> D
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """Header row, no index, values with outer spaces kept as they are.
 
-    A NULL is an empty cell and an empty text a quoted empty cell.
+    Like any delimited text it cannot tell a missing cell from an empty one: both read back as
+    missing.
     """
     (
         df.write.option("header", True)
