@@ -27,19 +27,21 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove whitespace of any kind at both ends (``trim`` alone only removes spaces)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.btrim(_col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def title_case(c: Column | str) -> Column:
     """Upper-case every letter that follows a non-letter, lower-case the other letters.
 
-    The text is cut in front of each word, so the work is per word, not per character.
+    Text of letters and spaces alone is what ``initcap`` handles. Other text is cut in front of
+    each word, so the work is per word, not per character.
     """
-    words = F.split(_col(c), r"(?<=\P{L})(?=\p{L})")
+    text = _col(c)
+    words = F.split(text, r"(?<=\P{L})(?=\p{L})")
     cased = F.transform(
         words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
     )
-    return F.array_join(cased, "")
+    return F.when(text.rlike(r"[^\p{L} ]"), F.array_join(cased, "")).otherwise(F.initcap(text))
 
 
 def slug(c: Column | str) -> Column:

@@ -26,7 +26,9 @@ class ImputerFit:
     n_missing: dict[str, int] = field(default_factory=dict)
 
 
-def fit_imputer(df: DataFrame, columns: Sequence[str] | None = None) -> ImputerFit:
+def fit_imputer(
+    df: DataFrame, columns: Sequence[str] | None = None, n_rows: int | None = None
+) -> ImputerFit:
     chosen = df.select(*columns) if columns else df
     counts = {
         r["column_name"]: r["n_missing"]
@@ -35,7 +37,8 @@ def fit_imputer(df: DataFrame, columns: Sequence[str] | None = None) -> ImputerF
     }
     numeric = [c for c in numeric_columns(chosen) if c in counts]
     other = [c for c in chosen.columns if c in counts and c not in numeric]
-    medians = {c: q[0] for c, q in order_stats.quantile_table(chosen, numeric, [0.5]).items()}
+    middle = order_stats.quantile_table(chosen, numeric, [0.5], n_rows=n_rows)
+    medians = {c: q[0] for c, q in middle.items()}
     modes = (
         {r["column_name"]: r["top"] for r in profile.text_description(chosen, other).collect()}
         if other

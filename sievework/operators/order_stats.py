@@ -1,7 +1,7 @@
 """Exact order statistics without sorting a whole column in one task.
 
-The built-in exact percentile keeps every distinct value of a column in one buffer. That is the
-quickest way on a table of moderate size, and is used there. Beyond it, the wanted ranks are
+The built-in exact percentile keeps every distinct value of a column in one buffer, which is the
+quickest way on a small table, and is used there. Beyond it, the wanted ranks are
 closed in on: each round histograms the rows still inside a value range (one map-side combined
 aggregate of at most ``BINS`` groups per range), and keeps the one bin that holds the rank, until
 that bin holds a single value. No row is moved, and a value repeated in a third of all rows costs
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 BINS = 4096
 # Up to this many rows the built-in percentile's buffer is known to be small.
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 100_000
 
 
 def _value(column: str):
@@ -74,13 +74,31 @@ def _narrow(df: DataFrame, wanted: Mapping[str, set[int]], low_high: Mapping[str
     return found
 
 
+def _direct(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict:
+    grid = F.array(*[F.lit(p) for p in probs])
+    row = df.agg(
+        *[F.percentile(_value(c), grid).alias(f"q_{i}") for i, c in enumerate(columns)]
+    ).first()
+    empty = [None] * len(probs)
+    return {c: list(row[f"q_{i}"] or empty) for i, c in enumerate(columns)}
+
+
 def quantile_table(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], direct_rows: int = DIRECT_ROWS
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    direct_rows: int = DIRECT_ROWS,
+    n_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated exact quantiles per column; all-missing columns give None."""
+    """Linearly interpolated exact quantiles per column; all-missing columns give None.
+
+    ``n_rows``, where the caller knows it, saves the counting pass on a table of moderate size.
+    """
     columns, probs = list(columns), list(probs)
     if not columns:
         return {}
+    if n_rows is not None and n_rows <= direct_rows:
+        return _direct(df, columns, probs)
     first = df.agg(
         *[F.count(_value(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
         *[F.min(_value(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
@@ -88,12 +106,7 @@ def quantile_table(
     ).first()
     counts = {c: first[f"n_{i}"] for i, c in enumerate(columns)}
     if max(counts.values()) <= direct_rows:
-        grid = F.array(*[F.lit(p) for p in probs])
-        row = df.agg(
-            *[F.percentile(_value(c), grid).alias(f"q_{i}") for i, c in enumerate(columns)]
-        ).first()
-        empty = [None] * len(probs)
-        return {c: list(row[f"q_{i}"] or empty) for i, c in enumerate(columns)}
+        return _direct(df, columns, probs)
 
     wanted: dict[str, set[int]] = {}
     for c in columns:

@@ -29,11 +29,12 @@ class Fence:
 
 
 def fit_fences(
-    df: DataFrame, columns: Sequence[str], whisker: float = WHISKER
+    df: DataFrame, columns: Sequence[str], whisker: float = WHISKER, n_rows: int | None = None
 ) -> dict[str, Fence]:
     """Fences q1 - whisker*iqr and q3 + whisker*iqr for all columns together."""
     fences = {}
-    for c, (q1, q2, q3) in order_stats.quantile_table(df, columns, [0.25, 0.5, 0.75]).items():
+    quartiles = order_stats.quantile_table(df, columns, [0.25, 0.5, 0.75], n_rows=n_rows)
+    for c, (q1, q2, q3) in quartiles.items():
         if q1 is None:
             raise ValueError(f"column {c!r} has no values")
         fences[c] = Fence(q1, q2, q3, q1 - whisker * (q3 - q1), q3 + whisker * (q3 - q1))

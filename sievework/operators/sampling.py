@@ -8,7 +8,7 @@ Marking the rows is then a comparison with those hash values: no shuffle, no win
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from math import ceil, floor
 from typing import Any
@@ -23,66 +23,87 @@ from sievework.functions.portable import SEED
 from sievework.operators import profile
 
 _HASH = "_hash"
-_STEP = 2  # hex digits per round: at most 256 counts per class and open prefix
-_LONG_STEP = 4  # on very large classes, where saving a pass is worth 65536 counts
-_LARGE = 20_000_000
+_STEP = 3  # hex digits per round: at most 4096 counts per class and open prefix
 _FEW = 512  # rows sharing a prefix that may be listed
+_MAX_COUNTS = 1_000_000  # more (class, prefix) counts than this mean it is no class label
 
 
 def class_sizes(df: DataFrame, label: str) -> dict[Any, int]:
     """Rows per class, by class value. Classes are few by nature of a label."""
-    sizes = {r[label]: r["n"] for r in profile.class_counts(df, label).collect()}
-    if len(sizes) > 10_000:
-        raise ValueError(f"{label!r} has {len(sizes)} values, not a class label")
-    return sizes
+    found = profile.value_counts(df, label).limit(_MAX_COUNTS + 1).collect()
+    if len(found) > _MAX_COUNTS:
+        raise ValueError(f"{label!r} has too many values for a class label")
+    return {r[label]: r["n"] for r in found}
+
+
+def _prefix_counts(hashed: DataFrame, label: str, digits: int) -> list:
+    """Rows (class, prefix, n), a bounded number of them, whatever the size of the table."""
+    found = (
+        hashed.groupBy(label, F.substring(_HASH, 1, digits).alias("prefix"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .limit(_MAX_COUNTS + 1)
+        .collect()
+    )
+    if len(found) > _MAX_COUNTS:
+        raise ValueError(f"{label!r} has too many values for a class label")
+    return found
 
 
-def _hash_at_ranks(hashed: DataFrame, label: str, ranks: Mapping[Any, set[int]]) -> dict:
-    """{(class, rank): hash} of the rank-th row (1-based) in hash order within its class."""
+def _within(label: str, open_: Sequence[tuple]) -> Column:
+    return reduce(
+        lambda a, b: a | b,
+        [(F.col(label) == F.lit(c)) & F.col(_HASH).startswith(p) for c, p, _, _ in open_],
+    )
+
+
+def _hash_at_ranks(
+    hashed: DataFrame, label: str, choose: Callable[[dict[Any, int]], Mapping[Any, set[int]]]
+) -> tuple[dict[Any, int], dict[tuple[Any, int], str]]:
+    """Class sizes, and {(class, rank): hash} of the rank-th row (1-based) in hash order.
+
+    ``choose`` names the wanted ranks once the sizes are known; the first round gives both the
+    sizes and the first narrowing.
+    """
+    hashed = hashed.where(F.col(label).isNotNull())
+    counts = _prefix_counts(hashed, label, _STEP)
+    sizes: dict[Any, int] = {}
+    for row in counts:
+        sizes[row[label]] = sizes.get(row[label], 0) + row["n"]
     found: dict[tuple[Any, int], str] = {}
     # Prefix searched, rows of the class sorting before it, ranks inside it.
-    open_ = [(c, "", 0, set(rs)) for c, rs in ranks.items() if rs]
-    step = _LONG_STEP if open_ and max(max(rs) for *_, rs in open_) > _LARGE else _STEP
+    open_ = [(c, "", 0, set(rs)) for c, rs in choose(sizes).items() if rs]
+    short: list[tuple] = []
+    depth = _STEP
     while open_:
-        depth = len(open_[0][1])
-        inside = reduce(
-            lambda a, b: a | b,
-            [(F.col(label) == F.lit(c)) & F.col(_HASH).startswith(p) for c, p, _, _ in open_],
-        )
-        counts = (
-            hashed.where(inside)
-            .groupBy(label, F.substring(_HASH, 1, depth + step).alias("prefix"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        following, short = [], []
+        following = []
+        by_class: dict[Any, list] = {}
+        for row in sorted(counts, key=lambda r: r["prefix"]):
+            by_class.setdefault(row[label], []).append(row)
         for c, p, before, wanted in open_:
             seen = before
-            mine = [r for r in counts if r[label] == c and r["prefix"].startswith(p)]
-            for row in sorted(mine, key=lambda r: r["prefix"]):
+            for row in by_class[c]:
+                if not row["prefix"].startswith(p):
+                    continue
                 hit = {r for r in wanted if seen < r <= seen + row["n"]}
                 if hit:
-                    few = row["n"] <= _FEW or depth + step >= 32
+                    few = row["n"] <= _FEW or depth >= 32
                     (short if few else following).append((c, row["prefix"], seen, hit))
                 seen += row["n"]
-        if short:
-            listed = hashed.where(
-                reduce(
-                    lambda a, b: a | b,
-                    [(F.col(label) == F.lit(c)) & F.col(_HASH).startswith(p) for c, p, _, _ in short],
-                )
-            )
-            at: dict[tuple[Any, str], list[str]] = {}
-            for row in listed.select(label, _HASH).distinct().collect():
-                for c, p, _, _ in short:
-                    if row[label] == c and row[_HASH].startswith(p):
-                        at.setdefault((c, p), []).append(row[_HASH])
-            for c, p, seen, hit in short:
-                hashes = sorted(at[(c, p)])
-                for r in hit:
-                    found[(c, r)] = hashes[min(r - seen, len(hashes)) - 1]
         open_ = following
-    return found
+        depth += _STEP
+        if open_:
+            counts = _prefix_counts(hashed.where(_within(label, open_)), label, depth)
+    if short:
+        at: dict[tuple[Any, str], list[str]] = {}
+        for row in hashed.where(_within(label, short)).distinct().collect():
+            for c, p, _, _ in short:
+                if row[label] == c and row[_HASH].startswith(p):
+                    at.setdefault((c, p), []).append(row[_HASH])
+        for c, p, seen, hit in short:
+            hashes = sorted(at[(c, p)])
+            for r in hit:
+                found[(c, r)] = hashes[min(r - seen, len(hashes)) - 1]
+    return sizes, found
 
 
 def _hashed(df: DataFrame, label: str, keys: Sequence[str], tag: str, seed: int) -> DataFrame:
@@ -122,14 +143,14 @@ def stratified_split(
     name: str = "is_test",
 ) -> DataFrame:
     """Add ``is_test`` 0/1 with exact per-class quotas. ``keys`` must identify a row."""
-    sizes = class_sizes(df, label)
-    if not sizes:
-        return df.withColumn(name, F.lit(0))
-    if min(sizes.values()) < 2:
-        raise ValueError("every class needs at least two rows for a stratified split")
+
+    def last_ranks(sizes: dict[Any, int]) -> dict[Any, set[int]]:
+        if sizes and min(sizes.values()) < 2:
+            raise ValueError("every class needs at least two rows for a stratified split")
+        return {c: {q} for c, q in test_quotas(sizes, test_size).items() if q > 0}
+
+    sizes, last = _hash_at_ranks(_hashed(df, label, keys, "split", seed), label, last_ranks)
     quota = test_quotas(sizes, test_size)
-    wanted = {c: {q} for c, q in quota.items() if q > 0}
-    last = _hash_at_ranks(_hashed(df, label, keys, "split", seed), label, wanted)
     # A column of its own: compared several times, hashed once.
     h = F.col(_HASH)
     in_test = F.lit(False)
@@ -157,13 +178,18 @@ def stratified_kfold(
     name: str = "fold",
 ) -> DataFrame:
     """Add ``fold`` in 0..k-1; per class, fold sizes differ by at most one row."""
-    sizes = class_sizes(df, label)
-    if sizes and max(sizes.values()) < k:
-        raise ValueError(f"{k} folds need a class with at least {k} rows")
-    quotas = fold_quotas(sizes, k)
-    ends = {c: [sum(q[: f + 1]) for f in range(k)] for c, q in quotas.items()}
-    wanted = {c: {e for e in es[:-1] if 0 < e < sizes[c]} for c, es in ends.items()}
-    at = _hash_at_ranks(_hashed(df, label, keys, "fold", seed), label, wanted)
+
+    def fold_ends(sizes: dict[Any, int]) -> dict[Any, list[int]]:
+        quotas = fold_quotas(sizes, k)
+        return {c: [sum(q[: f + 1]) for f in range(k)] for c, q in quotas.items()}
+
+    def inner_ends(sizes: dict[Any, int]) -> dict[Any, set[int]]:
+        if sizes and max(sizes.values()) < k:
+            raise ValueError(f"{k} folds need a class with at least {k} rows")
+        return {c: {e for e in es[:-1] if 0 < e < sizes[c]} for c, es in fold_ends(sizes).items()}
+
+    sizes, at = _hash_at_ranks(_hashed(df, label, keys, "fold", seed), label, inner_ends)
+    quotas, ends = fold_quotas(sizes, k), fold_ends(sizes)
     h = F.col(_HASH)
     fold = F.lit(None).cast("int")
     for c, es in ends.items():

@@ -6,11 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import scalars as S
-from sievework.operators import dedup, impute, outliers, profile, project
+from sievework.operators import dedup, impute, outliers, project
 from sievework.session import scratch_path
 from sievework.sources import sink
 
@@ -52,31 +51,29 @@ def clean(
     stages = {"00_raw": sink.write_stage(raw, root, "00_raw")}
     named = standardize(stages["00_raw"], title, recodes)
     content = [c for c in named.columns if c != key]
-    duplicates = dedup.duplicate_count(named, content).first()["n_duplicates"]
     unique = (
         dedup.drop_duplicates_first(named, content, [key]) if key else dedup.drop_duplicates(named)
     )
     typed = unique.withColumns({c: S.to_numeric(c) for c in numeric})
     stages["01_preprocessed"] = sink.write_stage(typed, root, "01_preprocessed")
 
-    counts = {
-        r["column_name"]: r["n_missing"]
-        for r in profile.missing_counts(stages["01_preprocessed"]).collect()
-    }
-    complete = impute.impute(stages["01_preprocessed"], add_indicator=add_indicator)
+    # Row counts of written stages come from the file footers.
+    rows_before, rows_after = stages["00_raw"].count(), stages["01_preprocessed"].count()
+
+    fill = impute.fit_imputer(stages["01_preprocessed"], n_rows=rows_after)
+    complete = impute.apply_imputer(stages["01_preprocessed"], fill, add_indicator)
     stages["02_no_missing"] = sink.write_stage(complete, root, "02_no_missing")
 
-    fences = outliers.fit_fences(stages["02_no_missing"], numeric)
+    fences = outliers.fit_fences(stages["02_no_missing"], numeric, n_rows=rows_after)
     n_iqr = outliers.fence_table(stages["02_no_missing"], fences)
     n_z = outliers.zscore_table(stages["02_no_missing"], numeric)
     capped = outliers.cap_to_fences(stages["02_no_missing"], fences)
     stages["03_after_outlier"] = sink.write_stage(capped, root, "03_after_outlier")
-    stages["clean"] = sink.write_stage(stages["03_after_outlier"], root, "clean")
-    result = stages["clean"]
+    # Capping is the last step: the clean table is that stage, not another copy of it.
+    result = stages["clean"] = stages["03_after_outlier"]
 
     iqr = {r["column_name"]: r["n_iqr"] for r in n_iqr.collect()}
     zscore = {r["column_name"]: r["n_zscore"] for r in n_z.collect()}
-    facts = stages["00_raw"].agg(F.count(F.lit(1)).alias("b")).first()["b"]
     listing = T.ArrayType(
         T.StructType([T.StructField("column", T.StringType()), T.StructField("n", T.LongType())])
     )
@@ -94,11 +91,11 @@ def clean(
     )
     row = (
         dataset,
-        facts,
-        result.count(),
+        rows_before,
+        rows_after,
         len(result.columns),
-        duplicates,
-        sum(counts.values()),
+        rows_before - rows_after,
+        sum(fill.n_missing.values()),
         [(c, iqr[c]) for c in numeric],
         [(c, zscore[c]) for c in numeric],
     )

@@ -20,8 +20,6 @@ def build_session(cores: str | int = "*", app: str = "sievework", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
-        # Wide row counts over k folds or 16 runs are cheap; do not let tiny shuffles dominate.
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
