@@ -20,7 +20,7 @@ from sievework.catalog.base import (
 )
 from sievework.functions import scalars as S
 from sievework.operators import charts, evaluate, outliers, ranking
-from sievework.plans import search
+from sievework.plans import comparison, search
 
 # --- cross-validation tables ----------------------------------------------------------------
 
@@ -181,10 +181,9 @@ def top_k_models(spark, sf):
     return ranking.top_models(results(spark, sf))
 
 
-# The remarks of the final table.
 REMARKS = [
-    ("Naive Bayes", "none", "Tidak", "Baseline - Gagal deteksi minoritas (Accuracy Paradox)"),
-    ("Decision Tree", "smote_k3", "Ya", "Model Terbaik - Mampu deteksi Stunted & Severely Stunted"),
+    ("Naive Bayes", "none", "Tidak", comparison.BASELINE_REMARK),
+    ("Decision Tree", "smote_k3", "Ya", comparison.BEST_REMARK),
 ]
 
 

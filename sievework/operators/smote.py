@@ -79,7 +79,7 @@ def smote(
     numbered = numbered.select(*group, "_base", *features, "neighbors")
 
     # The rows to make, counted out in parallel, never from one task.
-    per_task = 1_000_000
+    per_task = 200_000
     made = reduce(
         DataFrame.unionByName,
         [

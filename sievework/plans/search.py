@@ -6,6 +6,7 @@ and fitting are single jobs over all folds rather than a loop.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -152,9 +153,13 @@ def prepare_folds(
 
 
 def score_table(counts: DataFrame) -> DataFrame:
-    """(candidate_id, fold, score): support-weighted F1."""
+    """(candidate_id, fold, score): support-weighted F1.
+
+    Rounded far below any real difference, so that candidates with the same predictions tie
+    whatever order their classes were added up in.
+    """
     scored = evaluate.weighted_from_counts(counts, ["candidate_id", "fold"])
-    return scored.select("candidate_id", "fold", F.col("f1").alias("score"))
+    return scored.select("candidate_id", "fold", F.bround("f1", 12).alias("score"))
 
 
 def search_gnb(
@@ -175,43 +180,6 @@ def search_gnb(
 # --- decision tree ------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class _Node:
-    prediction: float
-    rows: int
-    left: "_Node | None" = None
-    right: "_Node | None" = None
-
-
-def _read_tree(node) -> _Node:
-    """Copy of a fitted tree; like the fitted tree itself it lives on the driver."""
-    rows = int(node.impurityStats().count())
-    if node.getClass().getSimpleName() != "InternalNode":
-        return _Node(node.prediction(), rows)
-    return _Node(node.prediction(), rows, _read_tree(node.leftChild()), _read_tree(node.rightChild()))
-
-
-def _stopped_predictions(root: _Node, max_depth: int | None, min_split: int) -> list[float]:
-    """Prediction per leaf of the full tree if it had stopped growing at the given limits.
-
-    Greedy growth makes a smaller tree a cut-off larger one, so one fit serves all limits.
-    """
-    out: list[float] = []
-
-    def walk(node: _Node, depth: int, stopped: float | None) -> None:
-        stop = (max_depth is not None and depth >= max_depth) or node.rows < min_split
-        if stopped is None and (stop or node.left is None):
-            stopped = node.prediction
-        if node.left is None:
-            out.append(stopped)
-            return
-        walk(node.left, depth + 1, stopped)
-        walk(node.right, depth + 1, stopped)
-
-    walk(root, 0, None)
-    return out
-
-
 def search_tree(
     prepared: Folds,
     features: Sequence[str],
@@ -248,8 +216,9 @@ def search_tree(
     )
     spark = training.sparkSession
 
-    def run(shape: tuple, fold: int) -> list[tuple]:
+    def run(shape: tuple, fold: int) -> tuple[list[tuple], list[tuple]]:
         criterion, leaf, n_try = shape
+        start = time.perf_counter()
         forest = RandomForestClassifier(
             featuresCol="_features",
             labelCol="_label",
@@ -264,7 +233,8 @@ def search_tree(
             seed=SEED,
         )
         model = forest.fit(training.where(F.col("left_out") == fold))
-        root = _read_tree(model.trees[0]._java_obj.rootNode())
+        root = mllib.read_tree(model.trees[0]._java_obj.rootNode())
+        fitted = time.perf_counter()
         per_leaf = (
             model.transform(validation.where(F.col("fold") == fold))
             .groupBy("_label", vector_to_array("_leaf")[0].cast("int").alias("leaf"))
@@ -274,16 +244,62 @@ def search_tree(
         rows = []
         for i in shapes[shape]:
             c = all_candidates[i]
-            guess = _stopped_predictions(root, c.get("max_depth"), c.get("min_samples_split", 2))
+            guess = mllib.stopped_predictions(root, c.get("max_depth"), c.get("min_samples_split", 2))
             tally: dict[tuple[float, float], int] = {}
             for r in per_leaf:
                 cell = (r["_label"], guess[r["leaf"]])
                 tally[cell] = tally.get(cell, 0) + r["n"]
             rows += [(i, fold, a, p, n) for (a, p), n in tally.items()]
-        return rows
+        scored = time.perf_counter()
+        times = [(i, fitted - start, scored - fitted) for i in shapes[shape]]
+        return rows, times
 
     jobs = [(shape, f) for shape in shapes for f in range(prepared.n)]
     with ThreadPoolExecutor(parallelism) as pool:
-        found = [row for rows in pool.map(lambda job: run(*job), jobs) for row in rows]
+        done = list(pool.map(lambda job: run(*job), jobs))
+    found = [row for rows, _ in done for row in rows]
     schema = "candidate_id int, fold int, actual double, predicted double, n long"
-    return cv_results(score_table(spark.createDataFrame(found, schema)), prepared.n)
+    cv = cv_results(score_table(spark.createDataFrame(found, schema)), prepared.n)
+    spent = [row for _, times in done for row in times]
+    return cv.join(_timing(spark.createDataFrame(spent, "candidate_id int, fit double, score double")), "candidate_id")
+
+
+def _timing(spent: DataFrame) -> DataFrame:
+    """Mean and population std over folds of the seconds a candidate's fit and scoring took."""
+    return spent.groupBy("candidate_id").agg(
+        F.avg("fit").alias("mean_fit_seconds"),
+        F.stddev_pop("fit").alias("std_fit_seconds"),
+        F.avg("score").alias("mean_score_seconds"),
+        F.stddev_pop("score").alias("std_score_seconds"),
+    )
+
+
+def refit_tree(
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    key: str,
+    n_classes: int,
+    params: Mapping[str, Any],
+    smote_k: int = 3,
+) -> mllib.CutTree:
+    """The chosen tree, fitted on all training rows after resampling them."""
+    balanced = smote.materialized_smote(train, features, label, key, k=smote_k)
+    return mllib.fit_cut_tree(
+        balanced,
+        features,
+        label,
+        n_classes,
+        params.get("criterion", "gini"),
+        params.get("max_depth"),
+        params.get("min_samples_leaf", 1),
+        max_features(params.get("max_features"), len(features)),
+        params.get("min_samples_split", 2),
+    )
+
+
+def refit_gnb(
+    train: DataFrame, features: Sequence[str], label: str, key: str, smote_k: int = 3
+) -> gnb.GaussianFit:
+    """Naive Bayes on all training rows after resampling them; smoothing is applied on predicting."""
+    return gnb.fit(smote.materialized_smote(train, features, label, key, k=smote_k), features, label)
