@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import scalars as S
+from sievework.session import collect_few
 
 VAR_SMOOTHING = 1e-9
 
@@ -49,7 +50,7 @@ def fit_parts(
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
         stats += [F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
-    rows = df.groupBy(*within, label).agg(*stats).collect()
+    rows = collect_few(df.groupBy(*within, label).agg(*stats), f"values of {label!r}")
     parts: dict[tuple, list] = {}
     for r in rows:
         parts.setdefault(tuple(r[w] for w in within), []).append(r)

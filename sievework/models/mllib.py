@@ -33,6 +33,8 @@ MAX_DEPTH = 30
 # Candidate cuts per feature. Statistics per tree level are nodes x features x bins x classes.
 MAX_BINS = 128
 
+# Keep each row's node instead of walking it down from the root at every level: deep trees need it.
+DEEP = True
 # Classes fitted side by side by one-vs-rest; each fit is a series of short jobs.
 PARALLEL_FITS = 8
 
@@ -82,7 +84,12 @@ def fit_decision_tree(
     """One tree. ``max_features`` (a number of features per split) needs a one-tree forest."""
     depth = MAX_DEPTH if max_depth is None else min(max_depth, MAX_DEPTH)
     shared = dict(
-        impurity=criterion, maxDepth=depth, maxBins=MAX_BINS, minInstancesPerNode=min_samples_leaf, seed=SEED
+        impurity=criterion,
+        maxDepth=depth,
+        maxBins=MAX_BINS,
+        minInstancesPerNode=min_samples_leaf,
+        seed=SEED,
+        cacheNodeIds=DEEP,
     )
     if max_features is None:
         tree = DecisionTreeClassifier(**shared)
@@ -187,6 +194,7 @@ def fit_cut_tree(
         maxDepth=MAX_DEPTH,
         maxBins=MAX_BINS,
         seed=SEED,
+        cacheNodeIds=DEEP,
     )
     fitted = _fit(forest, train, features, label, n_classes, "probability").model
     root = read_tree(fitted.stages[-1].trees[0]._java_obj.rootNode())
@@ -198,7 +206,12 @@ def fit_random_forest(
     train: DataFrame, features: Sequence[str], label: str, n_classes: int, trees: int = 100
 ) -> FittedModel:
     forest = RandomForestClassifier(
-        numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=MAX_DEPTH, maxBins=MAX_BINS, seed=SEED
+        numTrees=trees,
+        featureSubsetStrategy="sqrt",
+        maxDepth=MAX_DEPTH,
+        maxBins=MAX_BINS,
+        seed=SEED,
+        cacheNodeIds=DEEP,
     )
     return _fit(forest, train, features, label, n_classes, "probability")
 

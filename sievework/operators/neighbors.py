@@ -29,10 +29,11 @@ from pyspark.sql import Window
 from sievework.functions import scalars as S
 from sievework.functions.portable import SEED
 from sievework.operators.skew import salted_join
-from sievework.session import materialize
+from sievework.session import collect_few, materialize
 
 CELL_ROWS = 4096
 SAMPLE_ROWS = 400_000
+SAMPLE_PER_CELL = 64
 MAX_CELLS = 32_768
 _BLOCK_CELLS = 2_000_000  # distances held at once in a task
 
@@ -152,7 +153,8 @@ def neighbor_lists(
     wanted = queries.select(_group_id(queries, group).alias("_g"), *renamed).distinct()
 
     # 2. Cells, from a bounded sample of places.
-    sizes = {r["_g"]: r["n"] for r in places.groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = places.groupBy("_g").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["_g"]: r["n"] for r in collect_few(counted, "groups")}
     total = sum(sizes.values())
     spots = places.where("_r = 1").select("_g", *xs)
     per_cell = max(cell_rows, -(-total // MAX_CELLS))
@@ -160,8 +162,9 @@ def neighbor_lists(
     sample = pd.DataFrame(columns=["_g", *xs])
     if big:
         big_spots = spots.where(F.col("_g").isin(sorted(big)))
-        if total > SAMPLE_ROWS:
-            big_spots = big_spots.sample(fraction=SAMPLE_ROWS / total, seed=SEED)
+        enough = min(SAMPLE_ROWS, SAMPLE_PER_CELL * sum(-(-sizes[g] // per_cell) for g in big))
+        if total > enough:
+            big_spots = big_spots.sample(fraction=enough / total, seed=SEED)
         sample = big_spots.toPandas()
     trees: dict[str, list[_Cut]] = {}
     next_cell = 0

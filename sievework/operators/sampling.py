@@ -21,32 +21,25 @@ from pyspark.sql import Window
 from sievework.functions import portable
 from sievework.functions.portable import SEED
 from sievework.operators import profile
+from sievework.session import collect_few
 
 _HASH = "_hash"
 _STEP = 3  # hex digits per round: at most 4096 counts per class and open prefix
 _FEW = 512  # rows sharing a prefix that may be listed
-_MAX_COUNTS = 1_000_000  # more (class, prefix) counts than this mean it is no class label
 
 
 def class_sizes(df: DataFrame, label: str) -> dict[Any, int]:
     """Rows per class, by class value. Classes are few by nature of a label."""
-    found = profile.value_counts(df, label).limit(_MAX_COUNTS + 1).collect()
-    if len(found) > _MAX_COUNTS:
-        raise ValueError(f"{label!r} has too many values for a class label")
+    found = collect_few(profile.value_counts(df, label), f"values of the class label {label!r}")
     return {r[label]: r["n"] for r in found}
 
 
 def _prefix_counts(hashed: DataFrame, label: str, digits: int) -> list:
     """Rows (class, prefix, n), a bounded number of them, whatever the size of the table."""
-    found = (
-        hashed.groupBy(label, F.substring(_HASH, 1, digits).alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(_MAX_COUNTS + 1)
-        .collect()
+    counts = hashed.groupBy(label, F.substring(_HASH, 1, digits).alias("prefix")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    if len(found) > _MAX_COUNTS:
-        raise ValueError(f"{label!r} has too many values for a class label")
-    return found
+    return collect_few(counts, f"hash prefixes over the values of the class label {label!r}")
 
 
 def _within(label: str, open_: Sequence[tuple]) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -13,12 +12,18 @@ from pyspark.sql import types as T
 from sievework.functions import portable
 from sievework.functions.portable import SEED
 from sievework.operators import neighbors, sampling
-from sievework.session import materialize
+from sievework.session import collect_few, materialize
+
+# Synthetic rows counted out per chunk, and the most tasks the chunks are spread over.
+CHUNK = 100_000
+MAX_TASKS = 10_000
 
 
 def _counts(df: DataFrame, within: Sequence[str], label: str) -> dict[tuple, dict[Any, int]]:
     """{(within values): {class: rows}}."""
-    counted = df.groupBy(*within, label).agg(F.count(F.lit(1)).alias("n")).collect()
+    counted = collect_few(
+        df.groupBy(*within, label).agg(F.count(F.lit(1)).alias("n")), f"values of {label!r}"
+    )
     sizes: dict[tuple, dict[Any, int]] = {}
     for row in counted:
         sizes.setdefault(tuple(row[w] for w in within), {})[row[label]] = row["n"]
@@ -65,31 +70,28 @@ def smote(
             raise ValueError(f"class {c!r} has {n} rows, SMOTE with k={k} needs more than {k}")
 
     group = [*within, label]
-    group_schema = sampling.key_schema(df, group)
-    lacking_rows = [(*part, c, n) for part, c, n, _ in lacking]
     # One row per class that needs more rows: bounded by the number of classes.
+    long_ = [T.StructField(c, T.LongType()) for c in ("_size", "_need")]
     plan = spark.createDataFrame(
-        lacking_rows, T.StructType([*group_schema.fields, T.StructField("_size", T.LongType())])
+        [(*part, c, n, need) for part, c, n, need in lacking],
+        T.StructType([*sampling.key_schema(df, group).fields, *long_]),
     )
     # Read several times below; written once so the input is not scanned each time.
-    minority = materialize(df.join(F.broadcast(plan.drop("_size")), group), "minority")
+    minority = materialize(df.join(F.broadcast(plan.select(*group)), group), "minority")
     near = neighbors.knn_within_group(minority, features, key, k, group, cell_rows)
     total = sum(n for _, _, n, _ in lacking)
     numbered = sampling.dense_numbers(near, group, [*group, key], "smote", total, "_base", seed)
     numbered = numbered.select(*group, "_base", *features, "neighbors")
 
-    # The rows to make, counted out in parallel, never from one task.
-    per_task = 200_000
-    made = reduce(
-        DataFrame.unionByName,
-        [
-            spark.range(0, need, 1, max(1, -(-need // per_task))).select(
-                F.col("id").alias("number"),
-                *[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip((*part, c), group_schema)],
-                F.lit(n).cast("long").alias("_size"),
-            )
-            for part, c, n, need in lacking
-        ],
+    # The rows to make, counted out in chunks spread over many tasks, never from one task.
+    n_chunks = sum(-(-need // CHUNK) for *_, need in lacking)
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_need - 1) div {CHUNK}")))
+    first = F.col("_chunk") * CHUNK
+    last = F.least(first + CHUNK, F.col("_need")) - 1
+    made = (
+        plan.withColumn("_chunk", chunk)
+        .repartition(min(n_chunks, MAX_TASKS))
+        .select(*group, "_size", F.explode(F.sequence(first, last)).alias("number"))
     )
     at = [*group, "number"]
     draws = made.select(

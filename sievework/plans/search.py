@@ -231,6 +231,7 @@ def search_tree(
             maxDepth=mllib.MAX_DEPTH,
             maxBins=mllib.MAX_BINS,
             seed=SEED,
+            cacheNodeIds=mllib.DEEP,
         )
         model = forest.fit(training.where(F.col("left_out") == fold))
         root = mllib.read_tree(model.trees[0]._java_obj.rootNode())

@@ -50,6 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def collect_few(df: DataFrame, what: str, most: int = 1_000_000) -> list:
+    """Rows of a table that is small by nature; raises instead of filling the driver if it is not."""
+    found = df.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} {what}")
+    return found
+
+
 def materialize(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
