@@ -309,6 +309,15 @@ def chart_boxplot(spark, sf):
     return both.withColumns({c: F.bround(c, 6) for c in ("q1", "median", "q3")})
 
 
+@query(
+    "chart_outlier_points",
+    duck("obs", then=_BOX) + "SELECT row_key, price FROM obs, f WHERE price < lower OR price > upper",
+)
+def chart_outlier_points(spark, sf):
+    rows = obs(spark, sf).select("row_key", "price")
+    return charts.outlier_points(rows, "price", outliers.fit_fences(rows, ["price"])["price"], ["row_key"])
+
+
 @query(
     "chart_missing_map",
     "WITH o AS (SELECT CAST(l_orderkey // 1000 AS BIGINT) AS row_block, CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE l_extendedprice END AS price,"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators import order_stats
-from sievework.operators.project import is_numeric, missing, nan_as_null, numeric_columns
+from sievework.operators.project import missing, nan_as_null, numeric_columns
 
 
 def value_counts(df: DataFrame, column: str, by_key: bool = False) -> DataFrame:
@@ -257,7 +257,3 @@ def argmin_by(df: DataFrame, label: str, value: str, by: Sequence[str] = ()) ->
         .agg(least.alias("least"))
         .select(*by, F.col("least.l").alias(label), F.col("least.v").alias(value))
     )
-
-
-def numeric_kind(df: DataFrame, column: str) -> bool:
-    return is_numeric(df.schema[column].dataType)

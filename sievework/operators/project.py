@@ -22,10 +22,6 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
-def text_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
 def missing(df: DataFrame, name: str) -> Column:
     """NULL, and NaN for floating columns."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):

@@ -28,12 +28,6 @@ _STEP = 3  # hex digits per round: at most 4096 counts per class and open prefix
 _FEW = 512  # rows sharing a prefix that may be listed
 
 
-def class_sizes(df: DataFrame, label: str) -> dict[Any, int]:
-    """Rows per class, by class value. Classes are few by nature of a label."""
-    found = collect_few(profile.value_counts(df, label), f"values of the class label {label!r}")
-    return {r[label]: r["n"] for r in found}
-
-
 def _prefix_counts(hashed: DataFrame, label: str, digits: int) -> list:
     """Rows (class, prefix, n), a bounded number of them, whatever the size of the table."""
     counts = hashed.groupBy(label, F.substring(_HASH, 1, digits).alias("prefix")).agg(

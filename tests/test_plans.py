@@ -149,6 +149,19 @@ def test_cut_off_trees_equal_fitted_trees(spark):
         assert cv[0][f"split{fold}"] == pytest.approx(score)
 
 
+def test_refit_uses_balanced_rows(spark):
+    """The chosen model is fitted on all training rows after resampling."""
+    train, test = learn._train_test(spark, SF)
+    model = search.refit_gnb(train, X, "label", "id")
+    assert len(set(model.counts)) == 1 and model.counts[0] == train.where("label = 2").count()
+    params = {"max_depth": 3, "min_samples_split": 20, "max_features": None}
+    tree = search.refit_tree(train, X, "label", "id", 4, params)
+    out = tree.predict(test)
+    assert out.count() == test.count()
+    scores = sum((F.col(f"score_{i}") for i in range(1, 4)), F.col("score_0"))
+    assert out.where(F.abs(scores - 1) > 1e-9).count() == 0
+
+
 def test_fitted_steps_stream(spark):
     """The apply half of a fitted step takes a streaming table."""
     rows = base.imb(spark, SF)
