@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import byte_bpe, token_count, token_orc
+from sievework.llm import byte_bpe, quality, secret_scan, sharding, simhash, token_count, token_orc
 from sievework.llm.common import table
 from sievework.session import scratch_path
 
@@ -18,6 +18,24 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -32,6 +50,21 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = {f"n_{k}": secret_scan.count_of("spans", k) for k in secret_scan.BASE_KINDS}
+    return found.select(
+        "doc_id",
+        *[c.alias(name) for name, c in counts.items()],
+        F.sha2(secret_scan.listed("spans", secret_scan.BASE_KINDS), 256).alias("base_sha256"),
+        secret_scan.listed("spans").alias("spans"),
+    )
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-orc")
     token_orc.write_orc(table(spark, sf_dir, "documents"), path, WORD_BPE)
@@ -39,9 +72,13 @@ def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_secrets": op6_secrets,
     "op9_token_orc": op9_token_orc,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}
