@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,26 @@ def build_session(cores: str | int = "*", app: str = "sievework", **conf: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    share_package(spark)
     return spark
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let the executors import this package wherever the driver was started from.
+
+    The driver serves a zip of the sources to every executor, later ones included.
+    """
+    if spark.conf.get("sievework.shared", None):
+        return
+    package = Path(__file__).resolve().parent
+    # Only the driver reads this folder; Spark sends the file on.
+    made = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='run-')}/sievework", "zip", package.parent, package.name
+    )
+    spark.sparkContext.addPyFile(made)
+    spark.conf.set("sievework.shared", made)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
