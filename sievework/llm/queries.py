@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import byte_bpe, quality, secret_scan, sharding, simhash, token_count, token_orc
+from sievework.llm import (
+    ann,
+    byte_bpe,
+    decontaminate,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    token_count,
+    token_orc,
+)
 from sievework.llm.common import table
 from sievework.session import scratch_path
 
@@ -50,6 +60,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     counts = {f"n_{k}": secret_scan.count_of("spans", k) for k in secret_scan.BASE_KINDS}
@@ -61,6 +76,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,7 +95,9 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_nearest": op5_nearest,
     "op6_secrets": op6_secrets,
+    "op7_decontamination": op7_decontamination,
     "op9_token_orc": op9_token_orc,
     "op10_quality": op10_quality,
 }
