@@ -1,33 +1,79 @@
-"""From raw documents to token ids: stages applied one after the other, each written and read again."""
+"""From raw documents to token ids: stages applied one after the other, each written and read again.
+
+Every stage works on all that the one before has kept, and its decisions take effect: rejected documents,
+copies and documents that hold benchmark items go, secrets are blotted out of the texts. All stages but the
+last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm import byte_bpe, decontaminate, quality, queries, secret_scan, simhash
+from sievework.llm.common import table
+from sievework.session import materialize, scratch_path
+
+#: A document stays if its score is at least this.
+ACCEPT = 0.7
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. It is fitted on the labelled documents among ``docs``."""
+    trees = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    name = "score"
+    while name in docs.columns:
+        name = f"_{name}"
+    return quality.with_scores(docs, trees, name).where(F.col(name) >= ACCEPT).drop(name)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id, once if its row is repeated.
+
+    A group without any id keeps one document.
+    """
+    found = simhash.near_duplicates(docs)
+    # Ids are joined null-safely, so that a group that has no id but null keeps its document too.
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept")
+    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    held = materialize(found.select(F.col("doc_id").alias("_held")).distinct(), "leaks")
+    return docs.join(held, docs["doc_id"].eqNullSafe(F.col("_held")), "left_anti")
+
 
-from sievework.llm import byte_bpe, queries
-from sievework.session import scratch_path
+def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark and ``n_chars`` that of the new text."""
+    clean = secret_scan.redact_column(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """doc_id, n_tokens, ids and decoded of every document that is left."""
     return byte_bpe.encode(docs, queries.BYTE_RANKS, public_tokenizers.PATTERN)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("quality", keep_quality),
+    ("simhash", keep_one_of_each),
+    ("decontamination", drop_leaks),
+    ("secrets", blot_secrets),
+    ("encoding", encode),
+]
 
-#: The stages train a model and walk trees of bytes, which SQL cannot express.
+#: The stages train a model, hash shingles and merge bytes by rank, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn on ``documents``; each result is written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        done = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return done
-        path = scratch_path(spark, name)
-        done.write.parquet(path)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

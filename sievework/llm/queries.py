@@ -12,6 +12,7 @@ from sievework.llm import (
     ann,
     byte_bpe,
     decontaminate,
+    html_extract,
     quality,
     secret_scan,
     sharding,
@@ -80,6 +81,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Query] = {
     "op5_nearest": op5_nearest,
     "op6_secrets": op6_secrets,
     "op7_decontamination": op7_decontamination,
+    "op8_html": op8_html,
     "op9_token_orc": op9_token_orc,
     "op10_quality": op10_quality,
 }
