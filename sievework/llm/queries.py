@@ -109,4 +109,58 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+_NEAREST_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 20"""
+
+_SLOT_SQL = f"""CASE WHEN regexp_matches(x, '^[0-9]') THEN 'num'
+  WHEN lower(x) IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN 'unit'
+  WHEN regexp_matches(x, '^\\p{{Lu}}') AND (length(x) = 1 OR regexp_matches(x, '\\p{{Ll}}')) THEN 'name' END"""
+
+_LEAKS_SQL = f"""
+WITH w AS (
+  SELECT side, id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*|[\\p{{L}}\\p{{M}}]+') AS w
+  FROM (SELECT 'doc' AS side, doc_id AS id, text FROM documents
+        UNION ALL SELECT 'item', item_id, text FROM benchmark)),
+c AS (
+  SELECT side, id, len(w) AS n,
+    list_transform(w, lambda x: coalesce('<' || ({_SLOT_SQL}) || '>', lower(x))) AS canon,
+    list_transform(w, lambda x: ({_SLOT_SQL}) || ':' || lower(x)) AS slot
+  FROM w WHERE len(w) > 0),
+widths AS (SELECT DISTINCT least(n, {decontaminate.WINDOW}) AS width FROM c WHERE side = 'item'),
+p AS (
+  SELECT c.*, width, unnest(range(1, n - width + 2)) AS pos FROM c JOIN widths
+    ON n >= width AND (side = 'doc' OR width = least(n, {decontaminate.WINDOW}))),
+win AS (
+  SELECT side, id, n, pos, width, array_to_string(canon[pos:pos + width - 1], ' ') AS canon,
+    list_filter(slot[pos:pos + width - 1], lambda x: x IS NOT NULL) AS slots
+  FROM p),
+few AS (SELECT * FROM win WHERE len(slots) * 2 <= width),
+hit AS (
+  SELECT d.id AS doc_id, i.id AS item_id, i.n, i.width, d.pos - i.pos AS shift, i.pos, list_zip(i.slots, d.slots) AS pairs
+  FROM few d JOIN few i ON d.side = 'doc' AND i.side = 'item' AND d.canon = i.canon AND d.width = i.width),
+aligned AS (
+  SELECT doc_id, item_id, n, width, shift, list(DISTINCT pos) AS windows, list_distinct(flatten(list(pairs))) AS pairs
+  FROM hit GROUP BY ALL),
+one AS (
+  SELECT * FROM aligned WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda q: q[1])))
+    AND len(pairs) = len(list_distinct(list_transform(pairs, lambda q: q[2])))),
+held AS (
+  SELECT doc_id, item_id, n, len(list_distinct(flatten(list(windows)))) + any_value(width) - 1 AS words,
+    max(len(pairs)) AS slots, max(len(list_filter(pairs, lambda q: q[1] <> q[2]))) AS changed_slots
+  FROM one GROUP BY doc_id, item_id, n)
+SELECT doc_id, item_id, CAST(words AS BIGINT) AS words, CAST(n AS BIGINT) AS item_words,
+  CAST(slots AS BIGINT) AS slots, CAST(changed_slots AS BIGINT) AS changed_slots
+FROM held WHERE words >= least(n, {decontaminate.LEAST_WORDS})"""
+
+#: The other queries train, hash by XXH64, merge by rank, pack bins or walk trees, which SQL cannot express.
+ORACLE: dict[str, str] = {"op5_nearest": _NEAREST_SQL, "op7_decontamination": _LEAKS_SQL}
