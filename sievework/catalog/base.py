@@ -95,8 +95,8 @@ def evt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duck_uniform(tag: str, *keys: str) -> str:
     joined = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
     return (
-        f"(CAST(CAST('0x' || substr(md5(concat_ws(':', '42', '{tag}', {joined})), 1, 8) AS BIGINT)"
-        " AS DOUBLE) / 4294967296)"
+        f"(CAST(CAST('0x' || substr(md5(concat_ws(':', '42', '{tag}', {joined})), 1, 13) AS BIGINT)"
+        " AS DOUBLE) / 4503599627370496)"
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEED = 42
-_TWO_POW_32 = 4294967296.0
+_DIGITS = 13  # hex digits of a draw: 52 bits, which a double holds exactly
 
 
 def _as_columns(keys: Sequence[Column | str]) -> list[Column]:
@@ -25,6 +25,6 @@ def hash_hex(tag: str, *keys: Column | str, seed: int = SEED) -> Column:
 
 
 def uniform(tag: str, *keys: Column | str, seed: int = SEED) -> Column:
-    """Double in [0, 1) from the first 32 bits of the hash."""
-    head = F.substring(hash_hex(tag, *keys, seed=seed), 1, 8)
-    return F.conv(head, 16, 10).cast("double") / F.lit(_TWO_POW_32)
+    """Double in [0, 1) from the first 52 bits of the hash."""
+    head = F.substring(hash_hex(tag, *keys, seed=seed), 1, _DIGITS)
+    return F.conv(head, 16, 10).cast("double") / F.lit(16.0**_DIGITS)

@@ -44,6 +44,22 @@ def title_case(c: Column | str) -> Column:
     return F.when(text.rlike(r"[^\p{L} ]"), F.array_join(cased, "")).otherwise(F.initcap(text))
 
 
+def escape_breaks(c: Column | str) -> Column:
+    """Line breaks as backslash escapes, backslashes doubled."""
+    text = F.replace(_col(c), F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def unescape_breaks(c: Column | str) -> Column:
+    """Inverse of :func:`escape_breaks`; a backslash before any other letter stays."""
+    # Cut at doubled backslashes first, so that what is left of an escape is never one of them.
+    parts = F.split(_col(c), r"\\\\")
+    plain = F.transform(
+        parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    )
+    return F.array_join(plain, "\\")
+
+
 def slug(c: Column | str) -> Column:
     """Lower-case name without parentheses, spaces as underscores."""
     return F.replace(F.regexp_replace(F.lower(_col(c)), r"[()]", ""), F.lit(" "), F.lit("_"))
@@ -81,15 +97,17 @@ def nan_to_null(c: Column | str) -> Column:
 
 
 def clip(c: Column | str, lower: float | Column, upper: float | Column) -> Column:
-    """Limit to [lower, upper]; NULL stays NULL (``greatest`` alone would skip it)."""
+    """Limit to [lower, upper]; NULL and NaN stay (``greatest`` alone would skip or keep them as largest)."""
     c = _col(c)
     lo = lower if isinstance(lower, Column) else F.lit(lower)
     hi = upper if isinstance(upper, Column) else F.lit(upper)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, lo), hi))
+    limited = F.when(c.isNotNull(), F.least(F.greatest(c, lo), hi))
+    return F.when(F.isnan(c), F.lit(float("nan"))).otherwise(limited)
 
 
 def outside(c: Column | str, lower: float, upper: float) -> Column:
-    return (_col(c) < F.lit(lower)) | (_col(c) > F.lit(upper))
+    """Below or above the bounds; NaN, which Spark sorts above every number, is neither."""
+    return ((_col(c) < F.lit(lower)) | (_col(c) > F.lit(upper))) & ~F.isnan(_col(c))
 
 
 def round_half_even(c: Column | str, digits: int) -> Column:

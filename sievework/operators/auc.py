@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ def roc_auc_ovr(
 
     Per class it is the share of (positive, negative) pairs ranked rightly, equal scores counting
     half. Two classes: only the second one's score is used. NULL when a class has no positive or
-    no negative rows, or a label has no score.
+    no negative rows, a label has no score column, or any score is missing (NULL or NaN).
     """
     classes = sorted(scores)
     asked = classes if len(classes) != 2 else classes[1:]
@@ -36,8 +38,10 @@ def roc_auc_ovr(
         ]
     )
     known = F.col(label).isin(classes)
+    usable = reduce(and_, [~F.isnan(x := F.col(scores[c]).cast("double")) & x.isNotNull() for c in asked])
     facts = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~known | F.col(label).isNull()).alias("unknown")
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~known | F.col(label).isNull() | ~usable).alias("unknown"),
     ).first()
     # Equal scores are merged first, map-side: a score shared by many rows is one row after this.
     steps = (

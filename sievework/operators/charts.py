@@ -32,7 +32,7 @@ def boxplot_stats(df: DataFrame, fences: dict[str, Fence]) -> DataFrame:
     """Quartiles, whisker ends (last value inside the fence) and outlier count per column."""
     cells = []
     for c, f in fences.items():
-        x = F.col(c).cast("double")
+        x = S.nan_to_null(F.col(c).cast("double"))
         inside = F.when(~S.outside(c, f.lower, f.upper), x)
         cells.append(
             F.struct(

@@ -25,12 +25,17 @@ def confusion_counts(df: DataFrame, actual: str, predicted: str, by: Sequence[st
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _pair(actual: Column, predicted: Column) -> Column:
+    """A map key for two labels that tells apart any texts, and NULL."""
+    return F.to_json(F.array(actual.cast("string"), predicted.cast("string")))
+
+
 def dense_confusion(
     counts: DataFrame, by: Sequence[str] = (), classes: Sequence[Any] | None = None
 ) -> DataFrame:
     """Fill in pairs that never occur with 0, over all labels and predictions seen."""
     kind = counts.schema["actual"].dataType
-    pair = F.concat_ws("|", "actual", "predicted")
+    pair = _pair(F.col("actual"), F.col("predicted"))
     per_run = counts.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct(pair, "n"))).alias("cells"),
         F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("seen"),
@@ -39,7 +44,7 @@ def dense_confusion(
         per_run = per_run.withColumn("seen", F.array(*[F.lit(c).cast(kind) for c in classes]))
 
     def cell(a: Column, p: Column) -> Column:
-        n = F.coalesce(F.col("cells")[F.concat_ws("|", a, p)], F.lit(0))
+        n = F.coalesce(F.col("cells")[_pair(a, p)], F.lit(0))
         return F.struct(a.alias("actual"), p.alias("predicted"), n.cast("long").alias("n"))
 
     grid = F.flatten(F.transform("seen", lambda a: F.transform("seen", lambda p: cell(a, p))))

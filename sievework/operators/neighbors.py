@@ -117,8 +117,12 @@ def _nearest_in(q: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _group_id(df: DataFrame, group: Sequence[str]) -> Column:
-    """Groups as text, so one code path serves none, one or several group columns."""
-    return F.concat_ws("|", *[F.col(g).cast("string") for g in group]) if group else F.lit("")
+    """Groups as one value, so one code path serves none, one or several group columns.
+
+    A JSON array quotes its cells and writes NULL as such, so different groups never look alike.
+    """
+    cells = F.array(*[F.col(g).cast("string") for g in group])
+    return F.to_json(cells) if group else F.lit("")
 
 
 def neighbor_lists(

@@ -1,11 +1,12 @@
 """Exact order statistics without sorting a whole column in one task.
 
 The built-in exact percentile keeps every distinct value of a column in one buffer, which is the
-quickest way on a small table, and is used there. Beyond it, the wanted ranks are
-closed in on: each round histograms the rows still inside a value range (one map-side combined
-aggregate of at most ``BINS`` groups per range), and keeps the one bin that holds the rank, until
-that bin holds a single value. No row is moved, and a value repeated in a third of all rows costs
-nothing extra.
+quickest way on a small table, and is used there. Beyond it, the wanted ranks are closed in on. A
+round has two passes: a sketch of the values between two bounds gives values a little below and
+above a rank, then the rows below, at, between and above these are counted. Either the rank falls on
+one of the two values, or only the rows strictly between them are left: at most a few in ten thousand,
+however the values are distributed, infinities and heavy ties included. What is left after a round
+or two fits one buffer. No row is moved, and both ways give the same values.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BINS = 4096
+# Relative rank error of the sketches is one by this.
+ACCURACY = 10_000
 # Up to this many rows the built-in percentile's buffer is known to be small.
 DIRECT_ROWS = 100_000
 
@@ -27,50 +29,81 @@ def _value(column: str):
     return F.when(~F.isnan(x), x)
 
 
-def _narrow(df: DataFrame, wanted: Mapping[str, set[int]], low_high: Mapping[str, tuple]) -> dict:
+def _between(c: str, lo: float | None, hi: float | None) -> Column:
+    """Values strictly inside the bounds; None is no bound."""
+    x = _value(c)
+    if lo is not None:
+        x = F.when(x > F.lit(lo), x)
+    return x if hi is None else F.when(x < F.lit(hi), x)
+
+
+def _narrow(
+    df: DataFrame,
+    wanted: Mapping[str, set[int]],
+    counts: Mapping[str, int],
+    direct_rows: int = DIRECT_ROWS,
+    accuracy: int = ACCURACY,
+) -> dict:
     """Values at the wanted 0-based ranks, as {(column, rank): value}."""
     found: dict[tuple[str, int], float] = {}
-    # One bracket: column, lowest and highest value inside, rows below it, ranks wanted inside.
-    brackets = [(c, *low_high[c], 0, ranks) for c, ranks in wanted.items() if ranks]
-    while brackets:
-        for c, lo, _, _, ranks in [b for b in brackets if b[1] == b[2]]:
-            found.update({(c, r): lo for r in ranks})
-        brackets = [b for b in brackets if b[1] < b[2]]
-        if not brackets:
+    # (column, open bounds) -> rows below the open range, rows inside it, ranks wanted inside.
+    ranges = {(c, None, None): (0, counts[c], ranks) for c, ranks in wanted.items() if ranks}
+    while ranges:
+        few = {k: v for k, v in ranges.items() if v[1] <= max(direct_rows, 1)}
+        many = [(k, v) for k, v in ranges.items() if k not in few]
+        if few:
+            # No more than direct_rows values per range.
+            listed = df.agg(
+                *[F.sort_array(F.collect_list(_between(*k))).alias(f"v_{i}") for i, k in enumerate(few)]
+            ).first()
+            for i, ((c, _, _), (below, _, ranks)) in enumerate(few.items()):
+                found.update({(c, r): listed[i][r - below] for r in ranks})
+        if not many:
             break
-        keep = None
+        margin = 2 / accuracy
+        probes = []
+        for _, (below, n, ranks) in many:
+            at = [(r - below) / n for r in sorted(ranks)]
+            probes.append([min(1.0, max(0.0, p + d)) for p in at for d in (-margin, margin)])
+        near = df.agg(
+            *[
+                F.percentile_approx(_between(*k), F.array(*[F.lit(p) for p in probe]), accuracy).alias(f"q_{i}")
+                for i, ((k, _), probe) in enumerate(zip(many, probes))
+            ]
+        ).first()
+        asked = [
+            (k, below, r, near[i][2 * j], near[i][2 * j + 1])
+            for i, (k, (below, _, ranks)) in enumerate(many)
+            for j, r in enumerate(sorted(ranks))
+        ]
+        pairs = list(dict.fromkeys((k, a, b) for k, _, _, a, b in asked))
         cells = []
-        for i, (c, lo, hi, _, _) in enumerate(brackets):
-            inside = F.col(c).between(lo, hi)
-            keep = inside if keep is None else keep | inside
-            # Halving first keeps hi - lo finite for the widest doubles.
-            half_width = hi / 2 - lo / 2
-            x = _value(c)
-            where_in = (x / 2 - F.lit(lo / 2)) / F.lit(half_width)
-            position = F.when(
-                x.between(lo, hi),
-                F.least(F.floor(where_in * BINS), F.lit(BINS - 1)),
-            )
-            cells.append(
-                F.struct(F.lit(i).alias("b"), position.cast("int").alias("p"), x.alias("x"))
-            )
-        histogram = (
-            df.where(keep)
-            .select(F.inline(F.array(*cells)))
-            .where(F.col("p").isNotNull())
-            .groupBy("b", "p")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-            .collect()
-        )
-        following = []
-        for i, (c, _, _, below, ranks) in enumerate(brackets):
-            seen = below
-            for row in sorted((h for h in histogram if h["b"] == i), key=lambda h: h["p"]):
-                inside = {r for r in ranks if seen <= r < seen + row["n"]}
-                if inside:
-                    following.append((c, row["lo"], row["hi"], seen, inside))
-                seen += row["n"]
-        brackets = following
+        for i, (k, a, b) in enumerate(pairs):
+            x = _between(*k)
+            for name, mask in (("lt", x < a), ("a", x == a), ("in", (x > a) & (x < b)), ("b", x == b)):
+                cells.append(F.count_if(mask).alias(f"{name}_{i}"))
+        sums = df.agg(*cells).first()
+        following: dict[tuple, tuple[int, int, set[int]]] = {}
+        for k, below, r, a, b in asked:
+            i = pairs.index((k, a, b))
+            less, at_a, inside, at_b = (sums[f"{name}_{i}"] for name in ("lt", "a", "in", "b"))
+            c, lo, hi = k
+            first = below + less  # rank of the first row equal to a
+            if r < first:  # outside what the sketch promised: still a narrower range
+                key, start, n = (c, lo, a), below, less
+            elif r < first + at_a:
+                found[(c, r)] = a
+                continue
+            elif r < first + at_a + inside:
+                key, start, n = (c, a, b), first + at_a, inside
+            elif a < b and r < first + at_a + inside + at_b:
+                found[(c, r)] = b
+                continue
+            else:
+                start = first + at_a + inside + (at_b if a < b else 0)
+                key, n = (c, b, hi), ranges[k][0] + ranges[k][1] - start
+            following.setdefault(key, (start, n, set()))[2].add(r)
+        ranges = following
     return found
 
 
@@ -100,9 +133,7 @@ def quantile_table(
     if n_rows is not None and n_rows <= direct_rows:
         return _direct(df, columns, probs)
     first = df.agg(
-        *[F.count(_value(c)).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(_value(c)).alias(f"lo_{i}") for i, c in enumerate(columns)],
-        *[F.max(_value(c)).alias(f"hi_{i}") for i, c in enumerate(columns)],
+        *[F.count(_value(c)).alias(f"n_{i}") for i, c in enumerate(columns)]
     ).first()
     counts = {c: first[f"n_{i}"] for i, c in enumerate(columns)}
     if max(counts.values()) <= direct_rows:
@@ -116,8 +147,7 @@ def quantile_table(
             if counts[c]
             else set()
         )
-    bounds = {c: (first[f"lo_{i}"], first[f"hi_{i}"]) for i, c in enumerate(columns)}
-    at = _narrow(df, wanted, bounds)
+    at = _narrow(df, wanted, counts, direct_rows)
     result: dict[str, list[float | None]] = {}
     for c in columns:
         values: list[float | None] = []

@@ -69,8 +69,8 @@ def fence_table(df: DataFrame, fences: dict[str, Fence]) -> DataFrame:
 
 
 def zscore(c: str, mean: float | None, std: float | None) -> Column:
-    """(x - mean) / std, NULL for a constant column."""
-    return F.try_divide(F.col(c) - F.lit(mean), F.lit(std))
+    """(x - mean) / std, NULL for a constant column and for NaN."""
+    return F.try_divide(S.nan_to_null(c) - F.lit(mean), F.lit(std))
 
 
 def fit_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Groups up to this many rows are summed in one window.
+# Groups up to this many rows are summed in one window; beyond it a range holds about so many.
 DIRECT_ROWS = 1_000_000
-_CUTS = 1023
+_RANGE_ROWS = 100_000
 
 
 def total_before(
@@ -25,19 +25,24 @@ def total_before(
 ) -> DataFrame:
     """Add the sum of ``value`` over the rows of the same group that sort before this one.
 
-    ``order`` must be unique within a group. Beyond ``direct_rows`` the order column is cut into
-    about a thousand ranges holding similar numbers of rows: totals per range are summed up in a
+    ``order`` must be unique within a group; NULL sorts first and NaN last. Beyond ``direct_rows`` the
+    order column is cut into ranges of about ``_RANGE_ROWS`` rows: totals per range are summed up in a
     small table, and only the rest is summed inside a range.
     """
     before = Window.unboundedPreceding
     if n_rows <= direct_rows:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(before, -1)
         return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    probs = [i / (_CUTS + 1) for i in range(1, _CUTS + 1)]
+    cuts = max(1, -(-n_rows // _RANGE_ROWS))
+    probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
+    x = F.col(order).cast("double")
     grid = F.array(*[F.lit(p) for p in probs])
-    found = df.agg(F.percentile_approx(F.col(order).cast("double"), grid, 10_000).alias("q")).first()["q"]
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
+    found = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), grid, max(10_000, 10 * cuts)).alias("q"))
+    inner = {q for q in found.first()["q"] or [] if abs(q) != float("inf")}
+    splits = [float("-inf"), *sorted(inner), float("inf")]
+    placed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")
+    bucketed = placed.transform(df.withColumn("_order", x)).drop("_order")
+    bucketed = bucketed.withColumn("_bucket", F.when(x.isNotNull(), F.col("_bucket")).otherwise(F.lit(-1.0)))
     in_bucket = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(before, -1)
     local = bucketed.withColumn("_local", F.coalesce(F.sum(value).over(in_bucket), F.lit(0)))
     totals = bucketed.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))

@@ -9,7 +9,6 @@ Marking the rows is then a comparison with those hash values: no shuffle, no win
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
 from math import ceil, floor
 from typing import Any
 
@@ -24,7 +23,8 @@ from sievework.operators import profile
 from sievework.session import collect_few
 
 _HASH = "_hash"
-_STEP = 3  # hex digits per round: at most 4096 counts per class and open prefix
+_STEP = 3  # hex digits per round at most: 4096 counts per open prefix
+_COUNTS = 500_000  # prefix counts per round that come to the driver at most
 _FEW = 512  # rows sharing a prefix that may be listed
 
 
@@ -36,11 +36,35 @@ def _prefix_counts(hashed: DataFrame, label: str, digits: int) -> list:
     return collect_few(counts, f"hash prefixes over the values of the class label {label!r}")
 
 
-def _within(label: str, open_: Sequence[tuple]) -> Column:
-    return reduce(
-        lambda a, b: a | b,
-        [(F.col(label) == F.lit(c)) & F.col(_HASH).startswith(p) for c, p, _, _ in open_],
-    )
+_TEXTS = T.ArrayType(T.StringType())
+
+
+def _small(hashed: DataFrame, label: str, rows: Sequence[tuple], **more: T.DataType) -> DataFrame:
+    """A table of a few values per class, keyed by ``_class``."""
+    fields = {"_class": hashed.schema[label].dataType, **more}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+    return hashed.sparkSession.createDataFrame(rows, schema)
+
+
+def _with_class(df: DataFrame, label: str, small: DataFrame, n: int) -> DataFrame:
+    """``df`` with the columns of the small table; sent to all tasks up to a checked number of rows."""
+    small = F.broadcast(small) if n <= _COUNTS else small
+    return df.join(small, F.col(label) == F.col("_class"), "left").drop("_class")
+
+
+def _within(hashed: DataFrame, label: str, open_: Sequence[tuple]) -> DataFrame:
+    """Rows whose hash begins with an open prefix of their class."""
+    by_class: dict[Any, list[str]] = {}
+    for c, p, _, _ in open_:
+        by_class.setdefault(c, []).append(p)
+    prefixes = _small(hashed, label, list(by_class.items()), _open=_TEXTS)
+    kept = _with_class(hashed, label, prefixes, len(by_class))
+    return kept.where(F.exists("_open", lambda p: F.col(_HASH).startswith(p))).drop("_open")
+
+
+def _digits(n_open: int) -> int:
+    """Hex digits a round may add so that its counts stay few, one at least."""
+    return max(d for d in range(1, _STEP + 1) if d == 1 or n_open * 16**d <= _COUNTS)
 
 
 def _hash_at_ranks(
@@ -48,44 +72,45 @@ def _hash_at_ranks(
 ) -> tuple[dict[Any, int], dict[tuple[Any, int], str]]:
     """Class sizes, and {(class, rank): hash} of the rank-th row (1-based) in hash order.
 
-    ``choose`` names the wanted ranks once the sizes are known; the first round gives both the
-    sizes and the first narrowing.
+    ``choose`` names the wanted ranks once the sizes are known. A missing label raises.
     """
-    hashed = hashed.where(F.col(label).isNotNull())
-    counts = _prefix_counts(hashed, label, _STEP)
-    sizes: dict[Any, int] = {}
-    for row in counts:
-        sizes[row[label]] = sizes.get(row[label], 0) + row["n"]
+    listed = collect_few(
+        hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n")), f"values of the class label {label!r}"
+    )
+    sizes: dict[Any, int] = {row[label]: row["n"] for row in listed}
+    if None in sizes:
+        raise ValueError(f"{sizes[None]} rows miss the class label {label!r}")
+    depth = _digits(len(sizes))
+    counts = _prefix_counts(hashed, label, depth) if sizes else []
     found: dict[tuple[Any, int], str] = {}
     # Prefix searched, rows of the class sorting before it, ranks inside it.
     open_ = [(c, "", 0, set(rs)) for c, rs in choose(sizes).items() if rs]
+    before_depth = 0
     short: list[tuple] = []
-    depth = _STEP
     while open_:
         following = []
-        by_class: dict[Any, list] = {}
+        by_prefix: dict[tuple[Any, str], list] = {}
         for row in sorted(counts, key=lambda r: r["prefix"]):
-            by_class.setdefault(row[label], []).append(row)
+            by_prefix.setdefault((row[label], row["prefix"][:before_depth]), []).append(row)
         for c, p, before, wanted in open_:
             seen = before
-            for row in by_class[c]:
-                if not row["prefix"].startswith(p):
-                    continue
+            for row in by_prefix[c, p]:
                 hit = {r for r in wanted if seen < r <= seen + row["n"]}
                 if hit:
                     few = row["n"] <= _FEW or depth >= 32
                     (short if few else following).append((c, row["prefix"], seen, hit))
                 seen += row["n"]
         open_ = following
-        depth += _STEP
+        before_depth = depth
         if open_:
-            counts = _prefix_counts(hashed.where(_within(label, open_)), label, depth)
+            depth += _digits(len(open_))
+            counts = _prefix_counts(_within(hashed, label, open_), label, depth)
     if short:
         at: dict[tuple[Any, str], list[str]] = {}
-        for row in hashed.where(_within(label, short)).distinct().collect():
-            for c, p, _, _ in short:
-                if row[label] == c and row[_HASH].startswith(p):
-                    at.setdefault((c, p), []).append(row[_HASH])
+        lengths = sorted({len(p) for _, p, _, _ in short})
+        for row in _within(hashed, label, short).distinct().collect():
+            for n in lengths:
+                at.setdefault((row[label], row[_HASH][:n]), []).append(row[_HASH])
         for c, p, seen, hit in short:
             hashes = sorted(at[(c, p)])
             for r in hit:
@@ -138,14 +163,11 @@ def stratified_split(
 
     sizes, last = _hash_at_ranks(_hashed(df, label, keys, "split", seed), label, last_ranks)
     quota = test_quotas(sizes, test_size)
-    # A column of its own: compared several times, hashed once.
-    h = F.col(_HASH)
-    in_test = F.lit(False)
-    for c, q in quota.items():
-        if q > 0:
-            in_test = F.when(F.col(label) == F.lit(c), h <= F.lit(last[(c, q)])).otherwise(in_test)
     hashed = df.withColumn(_HASH, portable.hash_hex("split", *keys, seed=seed))
-    return hashed.withColumn(name, in_test.cast("int")).drop(_HASH)
+    rows = [(c, last[(c, q)]) for c, q in quota.items() if q > 0]
+    marked = _with_class(hashed, label, _small(hashed, label, rows, _last=T.StringType()), len(rows))
+    in_test = F.coalesce(F.col(_HASH) <= F.col("_last"), F.lit(False))
+    return marked.withColumn(name, in_test.cast("int")).drop(_HASH, "_last")
 
 
 def train_part(split: DataFrame, name: str = "is_test") -> DataFrame:
@@ -177,17 +199,17 @@ def stratified_kfold(
 
     sizes, at = _hash_at_ranks(_hashed(df, label, keys, "fold", seed), label, inner_ends)
     quotas, ends = fold_quotas(sizes, k), fold_ends(sizes)
-    h = F.col(_HASH)
-    fold = F.lit(None).cast("int")
+    rows = []
     for c, es in ends.items():
-        # The first fold whose last rank is not before this row; rows past all ends: last fold.
-        mine: Column = F.lit(max((f for f in range(k) if quotas[c][f] > 0), default=k - 1))
-        for f in reversed(range(k)):
-            if quotas[c][f] and (c, es[f]) in at:
-                mine = F.when(h <= F.lit(at[(c, es[f])]), F.lit(f)).otherwise(mine)
-        fold = F.when(F.col(label) == F.lit(c), mine).otherwise(fold)
+        # The first fold whose last rank is not before a row; rows past all ends: last fold.
+        used = [f for f in range(k) if quotas[c][f]]
+        inner = [f for f in used if (c, es[f]) in at and f != used[-1]]
+        rows.append((c, [at[(c, es[f])] for f in inner], [*inner, used[-1] if used else k - 1]))
     hashed = df.withColumn(_HASH, portable.hash_hex("fold", *keys, seed=seed))
-    return hashed.withColumn(name, fold).drop(_HASH)
+    small = _small(hashed, label, rows, _ends=_TEXTS, _folds=T.ArrayType(T.IntegerType()))
+    marked = _with_class(hashed, label, small, len(rows))
+    fold = F.element_at("_folds", F.size(F.filter("_ends", lambda e: e < F.col(_HASH))) + 1)
+    return marked.withColumn(name, fold).drop(_HASH, "_ends", "_folds")
 
 
 def dense_numbers(
@@ -205,7 +227,7 @@ def dense_numbers(
     numbered separately; the rows in front of a part are added from the small table of part sizes.
     """
     digits = 0
-    while total / 16**digits > 100_000 and digits < 4:
+    while total / 16**digits > 100_000 and digits < 15:
         digits += 1
     part = F.substring(_HASH, 1, digits) if digits else F.lit("")
     rows = df.withColumn(_HASH, portable.hash_hex(tag, *keys, seed=seed)).withColumn("_part", part)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.functions import scalars as S
+
 # Text cells a tabular reader takes as missing.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -22,11 +24,16 @@ def scan_delimited(
     schema: T.StructType,
     sep: str = ";",
     missing: Sequence[str] = MISSING_TOKENS,
+    escaped_breaks: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text with a header; listed tokens are missing, bad numbers become NULL.
 
     Every field is read as text first, so that a bad number is a missing cell and not a
-    missing row, then cast to the declared type. Spaces around a value are kept.
+    missing row, then cast to the declared type. Spaces around a value are kept. Line breaks written
+    as backslash escapes are read as breaks. For foreign files with breaks inside quotes ask for
+    ``multi_line``, which reads each file in one task, and for ``escaped_breaks=False`` if backslashes
+    stand for themselves.
     """
     raw = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     rows = (
@@ -38,12 +45,15 @@ def scan_delimited(
         .option("ignoreTrailingWhiteSpace", False)
         .option("quote", '"')
         .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
     columns = []
     for f in schema.fields:
         text = F.when(~F.col(f.name).isin(list(missing)), F.col(f.name))
         is_text = isinstance(f.dataType, T.StringType)
+        if is_text and escaped_breaks:
+            text = S.unescape_breaks(text)
         columns.append((text if is_text else text.try_cast(f.dataType)).alias(f.name))
     return rows.select(*columns)
 

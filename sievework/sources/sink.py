@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions import scalars as S
 
@@ -35,12 +36,16 @@ def to_report_names(df: DataFrame, names: Mapping[str, str] = REPORT_NAMES) -> D
     return df.withColumnsRenamed({c: names[c] for c in df.columns if c in names})
 
 
-def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
+def write_delimited(df: DataFrame, path: str, sep: str = ",", escape_breaks: bool = True) -> None:
     """Header row, no index, values with outer spaces kept as they are.
 
-    Like any delimited text it cannot tell a missing cell from an empty one: both read back as
-    missing.
+    Line breaks in text are written as backslash escapes (and backslashes doubled), so that a row is
+    a line and files stay splittable; ``scan_delimited`` undoes it. ``escape_breaks=False`` writes
+    them as they are, inside quotes. Like any delimited text it cannot tell a missing cell from an
+    empty one: both read back as missing.
     """
+    if escape_breaks:
+        df = df.withColumns({f.name: S.escape_breaks(f.name) for f in df.schema if f.dataType == T.StringType()})
     (
         df.write.option("header", True)
         .option("sep", sep)

@@ -14,6 +14,7 @@ from sievework.functions import scalars as S
 from sievework.models import gnb, knn
 from sievework.operators import (
     auc,
+    charts,
     dedup,
     evaluate,
     impute,
@@ -28,6 +29,7 @@ from sievework.operators import (
     skew,
     smote,
 )
+from sievework.sources import scan, sink
 
 SF = "/root/testdata/sf0.01"
 X = base.FEATURES
@@ -374,3 +376,102 @@ def test_duplicates_treat_missing_as_equal(spark):
     df = spark.createDataFrame([(None, 1), (None, 1), ("a", 1)], "s string, n int")
     assert dedup.duplicate_count(df).first()[0] == 1
     assert dedup.drop_duplicates(df).count() == 2
+
+
+# --- every size, every value -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("direct", [order_stats.DIRECT_ROWS, 50, 1])
+def test_quantiles_with_infinities_heavy_tails_ties_and_nan(spark, direct):
+    values = [float("inf")] * 3 + [float("-inf")] * 2 + [10.0**e for e in range(-300, 301, 3)]
+    values += [7.0] * 150 + [float("nan"), None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(4)
+    present = sorted(v for v in values if v is not None and v == v)
+    ranks = [0, 1, 4, 5, 100, 180, 250, len(present) - 4, len(present) - 1]
+    probs = [r / (len(present) - 1) for r in ranks]
+    found = order_stats.quantile_table(df, ["x"], probs, direct_rows=direct)["x"]
+    for r, v in zip(ranks, found):
+        near = present[max(0, r - 1) : r + 2]
+        assert near[0] <= v <= near[-1]
+
+
+@pytest.mark.parametrize("values", [[float("inf")], list(range(400)), [1e-304, 1e300] * 200])
+def test_narrowing_ends_in_few_passes(spark, values, monkeypatch):
+    rows = [float(v) for v in range(3000)] + [float(v) for v in values]
+    df = spark.createDataFrame([(v,) for v in rows], "x double")
+    passes = []
+    plain = type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: passes.append(1) or plain(self, *a))
+    found = order_stats._narrow(df, {"x": set(range(0, len(rows), 97))}, {"x": len(rows)}, direct_rows=20)
+    assert found == {("x", r): sorted(rows)[r] for r in range(0, len(rows), 97)}
+    assert len(passes) <= 6
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+@pytest.mark.parametrize("direct", [0, 1_000_000])
+def test_auc_is_null_when_a_score_is_missing(spark, bad, direct):
+    rows = [(0, 0.1), (1, 0.9), (0, 0.4), (1, 0.3), (1, bad)]
+    df = spark.createDataFrame([(y, s, None if s is None else 1 - s) for y, s in rows], "y int, one double, zero double")
+    names = {0: "zero", 1: "one"}
+    assert auc.roc_auc_ovr(df, "y", names, direct).first()["roc_auc"] is None
+    whole = df.where("one IS NOT NULL AND NOT isnan(one)")
+    assert auc.roc_auc_ovr(whole, "y", names, direct).first()["roc_auc"] == 0.75
+
+
+def test_running_total_places_null_first_and_nan_last(spark):
+    rows = [(None, 5), (float("nan"), 7), (2.0, 1), (1.0, 3)]
+    df = spark.createDataFrame(rows, "x double, v long")
+    for direct in (0, 100):
+        got = {str(r.x): r.t for r in running.total_before(df, [], "x", "v", "t", 4, direct).collect()}
+        assert got == {"None": 0, "1.0": 5, "2.0": 8, "nan": 9}
+
+
+def test_many_classes_split_and_fold_exactly(spark):
+    df = spark.range(20_000).selectExpr("id", "CAST(id % 5000 AS STRING) AS label")
+    split = sampling.stratified_split(df, "label", ["id"]).cache()
+    assert split.where("is_test = 1").count() == 4_000
+    per = split.groupBy("label").agg({"is_test": "sum"}).collect()
+    assert len(per) == 5000 and {r[1] for r in per} <= {0, 1}
+    folds = sampling.stratified_kfold(df, "label", ["id"], k=4)
+    sizes = folds.groupBy("label", "fold").count().collect()
+    assert len(sizes) == 20_000 and {r["count"] for r in sizes} == {1}
+    missing = df.selectExpr("id", "CASE WHEN id > 5 THEN label END AS label")
+    for make in (sampling.stratified_split, sampling.stratified_kfold):
+        with pytest.raises(ValueError, match="miss the class label"):
+            make(missing, "label", ["id"])
+
+
+def test_nan_is_no_outlier_and_stays(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(float(v),) for v in [*range(20), 500]] + [(nan,), (None,)], "x double")
+    fences = outliers.fit_fences(df, ["x"])
+    assert outliers.fence_table(df, fences).first()["n_iqr"] == 1
+    assert outliers.zscore_table(df, ["x"]).first()["n_zscore"] == 1
+    capped = [r.x for r in outliers.cap_to_fences(df, fences).collect()]
+    assert sum(x is not None and x != x for x in capped) == 1 and capped.count(None) == 1
+    box = charts.boxplot_stats(df, fences).first()
+    assert (box["whisker_high"], box["n_outliers"]) == (19.0, 1)
+
+
+def test_groups_and_labels_that_only_look_alike(spark):
+    rows = [("a|b", "c", 0.0, 1), ("a", "b|c", 0.1, 2), ("a|b", "c", 5.0, 3), ("a", "b|c", 5.1, 4), (None, "", 0.0, 5), ("", None, 0.1, 6)]
+    df = spark.createDataFrame(rows, "g string, h string, x double, id long")
+    found = neighbors.neighbor_lists(df, df, ["x"], "id", 2, group=["g", "h"]).collect()
+    ids = sorted(sorted(n["key"] for n in r["neighbors"]) for r in found)
+    assert ids == [[1, 3], [1, 3], [2, 4], [2, 4], [5], [6]]
+    pairs = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "b|c")], "y string, p string")
+    matrix = {(r.actual, r.predicted): r.n for r in evaluate.confusion_matrix(pairs, "y", "p").collect()}
+    assert matrix["a|b", "c"] == 1 and matrix["a", "b|c"] == 2 and sum(matrix.values()) == 3
+
+
+def test_text_with_line_breaks_and_backslashes_comes_back(spark, tmp_path):
+    texts = ["a\nb", "c\\nd", "e\r\nf\\", "\\\\n", 'q"u\n"o', "plain", "\\x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    sink.write_delimited(df, f"{tmp_path}/escaped")
+    found = scan.scan_delimited(spark, f"{tmp_path}/escaped", df.schema, sep=",", missing=[""])
+    assert {r.id: r.t for r in found.collect()} == dict(enumerate(texts))
+    sink.write_delimited(df, f"{tmp_path}/plain", escape_breaks=False)
+    found = scan.scan_delimited(
+        spark, f"{tmp_path}/plain", df.schema, sep=",", missing=[""], escaped_breaks=False, multi_line=True
+    )
+    assert {r.id: r.t for r in found.collect()} == dict(enumerate(texts))
