@@ -92,15 +92,17 @@ _FOLDED = """sizes AS (SELECT CAST(h % 5 AS INTEGER) AS fold, count(*) AS n_vali
 @query(
     "param_grid",
     duck("cv", then=_FOLDED)
-    + """SELECT CAST(row_number() OVER (PARTITION BY fold ORDER BY s, l) - 1 AS INTEGER) AS candidate_id, l AS min_samples_split, s AS min_samples_leaf,
+    + """SELECT CAST((((c.i * 6 + d.i) * 3 + f.i) * 4 + l.i) * 4 + s.i AS INTEGER) AS candidate_id, c.v AS criterion, d.v AS max_depth,
+f.v AS max_features, l.v AS min_samples_leaf, s.v AS min_samples_split,
 fold, CAST((SELECT sum(n_valid) FROM sizes) - n_valid AS BIGINT) AS n_train, n_valid
-FROM sizes, (VALUES (1), (2), (5), (10)) AS a(s), (VALUES (2), (5), (10), (20)) AS b(l)""",
+FROM sizes, (VALUES (0, 'gini'), (1, 'entropy')) AS c(i, v),
+(VALUES (0, 3), (1, 5), (2, 7), (3, 10), (4, 15), (5, NULL)) AS d(i, v), (VALUES (0, NULL), (1, 'sqrt'), (2, 'log2')) AS f(i, v),
+(VALUES (0, 1), (1, 2), (2, 5), (3, 10)) AS l(i, v), (VALUES (0, 2), (1, 5), (2, 10), (3, 20)) AS s(i, v)""",
 )
 def param_grid(spark, sf):
     """Every fit of a search: grid candidates x folds with the rows each one reads."""
     folded = hashed_labels(spark, sf).select((F.col("h") % FOLDS).cast("int").alias("fold"))
-    grid = {k: search.DT_GRID[k] for k in ("min_samples_leaf", "min_samples_split")}
-    return search.fit_plan(folded, grid, FOLDS)
+    return search.fit_plan(folded, search.DT_GRID, FOLDS)
 
 
 @query(

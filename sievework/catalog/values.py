@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sievework.catalog.base import (
@@ -108,9 +109,12 @@ def table_profile(spark, sf):
     return project.table_profile(imb(spark, sf))
 
 
-@query("assemble_features")
+@query("assemble_features", duck("imb") + "SELECT id, label, x1 AS f0, x2 AS f1, x3 AS f2 FROM imb")
 def assemble_features(spark, sf):
-    return project.assemble_features(imb(spark, sf), ["x1", "x2", "x3"])
+    """The elements of the assembled vector, in order."""
+    found = project.assemble_features(imb(spark, sf), ["x1", "x2", "x3"])
+    vector = vector_to_array("features")
+    return found.select("id", "label", *[vector[i].alias(f"f{i}") for i in range(3)])
 
 
 @query("str_strip", duck("obs") + f"SELECT row_key, {duck_strip('status')} AS status, {duck_strip('sex')} AS sex FROM obs")

@@ -65,17 +65,17 @@ def fit_plan(folded: DataFrame, grid: Mapping[str, Sequence[Any]], k: int, fold:
     sizes = folded.groupBy(F.col(fold).alias("fold")).agg(F.count(F.lit(1)).alias("n_valid"))
     total = sizes.agg(F.sum("n_valid")).scalar()
     with_train = sizes.withColumn("n_train", total - F.col("n_valid"))
-    # k rows of fold sizes against the candidates: attach the candidate list to each fold row.
-    ids = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("candidate_id"),
-                *[F.lit(v).alias(name) for name, v in c.items()],
-            )
-            for i, c in enumerate(candidates(grid))
-        ]
+    # Every fold row takes the position of a candidate apart into one position per parameter.
+    names = sorted(grid)
+    rows = with_train.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(grid_size(grid) - 1))))
+    values, step = {}, grid_size(grid)
+    for name in names:
+        step //= len(grid[name])
+        at = F.floor(F.col("candidate_id") / F.lit(step)).cast("int") % F.lit(len(grid[name]))
+        values[name] = F.element_at(F.array(*[F.lit(v) for v in grid[name]]), at + 1)
+    return rows.select(
+        "candidate_id", *[v.alias(n) for n, v in values.items()], "fold", "n_train", "n_valid"
     )
-    return with_train.select(F.inline(ids), "fold", "n_train", "n_valid")
 
 
 def max_features(choice: str | int | None, n_features: int) -> int | None:
@@ -184,7 +184,7 @@ def search_tree(
     features: Sequence[str],
     label: str,
     grid: Mapping[str, Sequence[Any]] = DT_GRID,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """CV table of a decision-tree grid.
 
