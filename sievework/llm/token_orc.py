@@ -19,43 +19,51 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import id_and_text, slices, texts
-from sievework.llm.word_pieces import Bounded, WordPieces, words
+from sievework.llm.word_pieces import WordPieces
 
 SCHEMA = "doc_id long, n_tokens long, first long, ids array<int>"
 
 
+#: Pieces kept per Python worker; a full table is emptied.
+KEPT = 600_000
+#: Pieces that the library encodes in one call.
+_CALL = 4096
+
+
 class LibraryIds:
     """Ids as the tokenizers library gives them, asked once for each new piece."""
 
     def __init__(self, path: str) -> None:
         self.words = WordPieces(path)
         self.of_piece: dict[str, bytes] = {}
-        self.of_word = Bounded(self._word)
-        self.most = 800_000
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.pieces(word)
-        return b"".join(
-            self.words.special[p].to_bytes(4, "little") if special else self.of_piece[p] for p, special in found
-        )
-
-    def learn(self, new_words: Iterable[str]) -> None:
-        """Ask the library for all pieces of words not met before, in one call."""
-        if len(self.of_piece) >= self.most:
-            self.of_piece.clear()
-            self.of_word.clear()
-        new = {p for w in new_words for p, special in self.words.pieces(w) if not special}
-        new = [p for p in new if p not in self.of_piece]
-        encoded = self.words.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for p, e in zip(new, encoded, strict=True):
-            self.of_piece[p] = np.asarray(e.ids, "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces are told apart by blanks, which no piece holds, and by the library's word numbers."""
+        for start in range(0, len(pieces), _CALL):
+            some = pieces[start : start + _CALL]
+            found = self.words.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            number = np.asarray(found.word_ids, np.int64)
+            if len(np.unique(number)) != len(some):  # a piece that the library splits further
+                for p in some:
+                    ids = self.words.tokenizer.encode(p, add_special_tokens=False).ids
+                    self.of_piece[p] = np.asarray(ids, "<u4").tobytes()
+                continue
+            packed = np.asarray(found.ids, "<u4").tobytes()
+            ends = (np.searchsorted(number, np.arange(len(some) + 1)) * 4).tolist()
+            for k, p in enumerate(some):
+                self.of_piece[p] = packed[ends[k] : ends[k + 1]]
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        split = [words(t) for t in many]
-        self.learn({w for ws in split for w in ws if w not in self.of_word})
-        get = self.of_word.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        split = [self.words.text_pieces(t) for t in many]
+        found = set().union(*split)
+        if len(self.of_piece) + len(found) > KEPT:
+            self.of_piece.clear()
+        special = self.words.special
+        self.of_piece.update((p, i.to_bytes(4, "little")) for p, i in special.items())
+        self._learn(list(found.difference(self.of_piece)))
+        get = self.of_piece.__getitem__
+        return [b"".join(map(get, ps)) for ps in split]
 
 
 @lru_cache(maxsize=2)

@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from unicodedata import is_normalized
 
 import regex
 from tokenizers import Tokenizer
@@ -60,29 +59,45 @@ class WordPieces:
         longest_first = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
         splits = self.spec["pre_tokenizer"]["pretokenizers"]
-        self._pattern = regex.compile(next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split"))
+        split = next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split")
+        self._pattern = regex.compile(split)
+        # The same pattern over Latin-1, where the classes are short enough for the faster module.
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            found = [chr(c) for c in range(256) if regex.match(f"[{name}]", chr(c))]
+            split = split.replace(name, re.escape("".join(found)))
+        self._latin = re.compile(split)
+
+    def text_pieces(self, text: str) -> list[str]:
+        """Pieces of a whole text, special tokens as their own text."""
+        if self._special is None or "<" not in text or not self._special.search(text):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:  # Latin-1 is its own normal form, and no white space is part of a piece
+                return self._latin.findall(text.lower())
+        return [p for w in words(text) for p, _ in self.pieces(w)]
 
     def pieces(self, word: str) -> list[tuple[str, bool]]:
         """(piece, is it a special token) in order."""
-        if self._special is None or not self._special.search(word):
-            return [(p, False) for p in self._plain(word)]
+        if self._special is None or "<" not in word or not self._special.search(word):
+            return [(p, False) for p in self.plain(word)]
         found, at = [], 0
         for m in self._special.finditer(word):
-            found += [(p, False) for p in self._plain(word[at : m.start()])]
+            found += [(p, False) for p in self.plain(word[at : m.start()])]
             found.append((m[0], True))
             at = m.end()
-        return found + [(p, False) for p in self._plain(word[at:])]
+        return found + [(p, False) for p in self.plain(word[at:])]
 
-    def _plain(self, word: str) -> list[str]:
+    def plain(self, word: str) -> list[str]:
+        """Pieces of a word without special tokens."""
         if not word:
             return []
         low = word.lower()
-        if not word.isascii() and (
-            max(word) >= _PLAIN_BELOW
-            or max(low) >= _PLAIN_BELOW
-            or not is_normalized("NFC", word)
-            or not is_normalized("NFC", low)
-        ):
+        # Below the bound a text is its own normal form, and lower case goes letter by letter.
+        if not word.isascii() and (max(word) >= _PLAIN_BELOW or max(low) >= _PLAIN_BELOW):
             low = self.tokenizer.normalizer.normalize_str(word)
             return [low[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(low)]
+        if low.isalpha():
+            return [low]
         return self._pattern.findall(low)

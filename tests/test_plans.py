@@ -19,7 +19,9 @@ SF = "/root/testdata/sf0.01"
 X = base.FEATURES
 
 # These look for neighbours with numpy inside tasks; everything else stays in the JVM.
-USES_PYTHON = {"knn_within_class", "smote_oversample", "smote_per_fold", "resample_effect", "knn_classify"}
+USES_PYTHON = {
+    "knn_within_class", "smote_oversample", "smote_per_fold", "resample_effect", "knn_classify", "knn_scores"
+}
 
 
 def _plan(df) -> str:
@@ -184,3 +186,32 @@ def test_smote_rows_get_their_own_keys(spark):
     rows = base.imb(spark, SF)
     keyed = comparison._with_keys(smote.smote(rows, X, "label", "id"), learn.PROBLEM)
     assert keyed.count() == keyed.select("id").distinct().count()
+
+
+def test_scratch_is_deleted_at_the_end_of_its_scope(spark):
+    import os
+
+    from sievework.session import materialize, scratch_scope
+
+    kept = materialize(spark.range(3), "kept")
+    with scratch_scope(spark):
+        gone = materialize(spark.range(5), "gone")
+        files = [f.removeprefix("file://") for f in gone.inputFiles()]
+        assert gone.count() == 5 and all(map(os.path.exists, files))
+    assert files and not any(map(os.path.exists, files))
+    assert kept.count() == 3
+
+
+def test_executors_import_the_package_from_any_folder(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from sievework import catalog
+from sievework.session import build_session
+spark = build_session(2, "elsewhere", **{{"spark.checkpoint.dir": {str(tmp_path)!r}, "spark.driver.memory": "2g"}})
+assert catalog.QUERIES["knn_within_class"](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=300)
