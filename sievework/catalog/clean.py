@@ -144,17 +144,16 @@ def _run_cleaning(spark, sf):
 m AS (SELECT count_if(qty_raw IS NULL) + count_if(price IS NULL) + count_if(sex IS NULL) AS mb FROM firsts)
 SELECT t.line_no, t.line FROM c, m, LATERAL (VALUES
  (1, 'Dataset: obs'), (2, 'Total Sampel Awal: ' || b), (3, 'Total Sampel Akhir: ' || n), (4, 'Jumlah Kolom: 7'),
- (5, ''), (6, 'TAHAPAN YANG TELAH DILAKUKAN:'), (7, '1. Data Loading & Eksplorasi Awal'), (8, '2. Data Preprocessing:'),
- (9, '   - Standardisasi nama kolom'), (10, '   - Fix inkonsistensi nilai Status (spasi, kapitalisasi)'),
- (11, '   - Standardisasi kolom JK (L/P -> Laki-Laki/Perempuan)'),
- (12, '   - Deteksi dan hapus duplikasi data (' || (b - n) || ' duplikat dihapus)'),
- (13, '   - Konversi tipe data numerik'), (14, ''), (15, '3. Handling Missing Values:'),
- (16, '   - ' || CASE WHEN mb = 0 THEN 'Tidak ditemukan missing values dalam dataset' ELSE 'Missing values telah ditangani' END),
- (17, '   - Handler tetap disiapkan untuk antisipasi data baru'), (18, ''), (19, '4. Outlier Detection & Handling:'),
- (20, '   - Metode IQR: qty_raw: ' || qi || ' outlier, price: ' || pi || ' outlier'),
- (21, '   - Metode Z-Score: qty_raw: ' || qz || ' outlier, price: ' || pz || ' outlier'),
- (22, '   - Penanganan: Capping/Winsorization (mengganti outlier dengan batas IQR)'), (23, ''),
- (24, '5. Export Dataset Bersih ke CSV')) AS t(line_no, line)""",
+ (5, ''), (6, 'TAHAPAN YANG TELAH DILAKUKAN:'), (7, '1. Data Preprocessing:'),
+ (8, '   - Fix inkonsistensi nilai status (spasi, kapitalisasi)'), (9, '   - Standardisasi kolom sex (L/P -> Laki-Laki/Perempuan)'),
+ (10, '   - Konversi tipe data numerik: qty_raw, price'),
+ (11, '   - Deteksi dan hapus duplikasi data (' || (b - n) || ' duplikat dihapus)'),
+ (12, ''), (13, '2. Handling Missing Values:'),
+ (14, '   - ' || CASE WHEN mb = 0 THEN 'Tidak ditemukan missing values dalam dataset' ELSE 'Missing values telah ditangani' END),
+ (15, ''), (16, '3. Outlier Detection & Handling:'),
+ (17, '   - Metode IQR: qty_raw: ' || qi || ' outlier, price: ' || pi || ' outlier'),
+ (18, '   - Metode Z-Score: qty_raw: ' || qz || ' outlier, price: ' || pz || ' outlier'),
+ (19, '   - Penanganan: Capping/Winsorization (mengganti outlier dengan batas IQR)')) AS t(line_no, line)""",
 )
 def cleaning_summary(spark, sf):
     """The whole cleaning run, reported as its text summary."""

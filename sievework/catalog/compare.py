@@ -184,8 +184,8 @@ def top_k_models(spark, sf):
 
 
 REMARKS = [
-    ("Naive Bayes", "none", "Tidak", comparison.BASELINE_REMARK),
-    ("Decision Tree", "smote_k3", "Ya", comparison.BEST_REMARK),
+    ("Naive Bayes", "none", "Tidak", f"Baseline - {comparison.MISSED_REMARK}"),
+    ("Decision Tree", "smote_k3", "Ya", f"Model Terbaik - {comparison.FOUND_REMARK}"),
 ]
 
 

@@ -153,8 +153,9 @@ def weighted_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame
 
 
 def accuracy(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    hit = (F.col(actual) == F.col(predicted)).cast("double")
-    return df.groupBy(*by).agg(F.avg(hit).alias("accuracy"))
+    """(by, accuracy) over the rows with a label; a missing prediction is a wrong one, as in the report."""
+    hit = F.coalesce((F.col(actual) == F.col(predicted)).cast("double"), F.lit(0.0))
+    return df.groupBy(*by).agg(F.avg(F.when(F.col(actual).isNotNull(), hit)).alias("accuracy"))
 
 
 def trace_accuracy(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -125,6 +125,13 @@ def _group_id(df: DataFrame, group: Sequence[str]) -> Column:
     return F.to_json(cells) if group else F.lit("")
 
 
+def _present(feature: str) -> Column:
+    """The feature as a double; NULL and NaN have no place and raise."""
+    x = F.col(feature).cast("double")
+    wrong = F.raise_error(F.lit(f"feature {feature} is missing in a row"))
+    return F.when(x.isNull() | F.isnan(x), wrong).otherwise(x)
+
+
 def neighbor_lists(
     base: DataFrame,
     queries: DataFrame,
@@ -138,11 +145,11 @@ def neighbor_lists(
     """(group, features, neighbors) for every distinct query place.
 
     ``neighbors`` lists the k nearest base rows of the same group, a row at the place itself
-    included, as structs (d2, key, carried columns), nearest first.
+    included, as structs (d2, key, carried columns), nearest first. A missing feature raises.
     """
     features, group, carry = list(features), list(group), list(carry)
     xs = [f"_x{i}" for i in range(len(features))]
-    renamed = [F.col(f).cast("double").alias(x) for f, x in zip(features, xs)]
+    renamed = [_present(f).alias(x) for f, x in zip(features, xs)]
 
     # 1. At most k rows per place. The rank limit is applied before the shuffle as well.
     same_place = Window.partitionBy("_g", *xs).orderBy("_key")

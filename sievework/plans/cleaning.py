@@ -80,6 +80,7 @@ def clean(
     schema = T.StructType(
         [
             T.StructField("dataset", T.StringType()),
+            T.StructField("steps", T.ArrayType(T.StringType())),
             T.StructField("rows_before", T.LongType()),
             T.StructField("rows_after", T.LongType()),
             T.StructField("columns_after", T.LongType()),
@@ -89,8 +90,15 @@ def clean(
             T.StructField("zscore", listing),
         ]
     )
+    steps = ["Standardisasi nama kolom"] if named.columns != raw.columns else []
+    steps += [f"Fix inkonsistensi nilai {c} (spasi, kapitalisasi)" for c in title]
+    for c, mapping in recodes.items():
+        steps.append(f"Standardisasi kolom {c} ({'/'.join(mapping)} -> {'/'.join(mapping.values())})")
+    if numeric:
+        steps.append(f"Konversi tipe data numerik: {', '.join(numeric)}")
     row = (
         dataset,
+        steps,
         rows_before,
         rows_after,
         len(result.columns),

@@ -81,42 +81,36 @@ def summary_lines(summary: DataFrame) -> DataFrame:
 
     none_missing = "Tidak ditemukan missing values dalam dataset"
     some_missing = "Missing values telah ditangani"
-    # The wording of the published summary.
-    lines = [
-        F.format_string("Dataset: %s", F.col("dataset")),
-        F.format_string("Total Sampel Awal: %d", F.col("rows_before")),
-        F.format_string("Total Sampel Akhir: %d", F.col("rows_after")),
-        F.format_string("Jumlah Kolom: %d", F.col("columns_after")),
-        F.lit(""),
-        F.lit("TAHAPAN YANG TELAH DILAKUKAN:"),
-        F.lit("1. Data Loading & Eksplorasi Awal"),
-        F.lit("2. Data Preprocessing:"),
-        F.lit("   - Standardisasi nama kolom"),
-        F.lit("   - Fix inkonsistensi nilai Status (spasi, kapitalisasi)"),
-        F.lit("   - Standardisasi kolom JK (L/P -> Laki-Laki/Perempuan)"),
-        F.format_string(
-            "   - Deteksi dan hapus duplikasi data (%d duplikat dihapus)", F.col("duplicates")
+    def bullet(text: Column) -> Column:
+        return F.concat(F.lit("   - "), text)
+
+    duplicates = F.format_string("Deteksi dan hapus duplikasi data (%d duplikat dihapus)", F.col("duplicates"))
+    # The wording of the published summary. Step lines come from what was done.
+    parts = [
+        F.array(
+            F.format_string("Dataset: %s", F.col("dataset")),
+            F.format_string("Total Sampel Awal: %d", F.col("rows_before")),
+            F.format_string("Total Sampel Akhir: %d", F.col("rows_after")),
+            F.format_string("Jumlah Kolom: %d", F.col("columns_after")),
+            F.lit(""),
+            F.lit("TAHAPAN YANG TELAH DILAKUKAN:"),
+            F.lit("1. Data Preprocessing:"),
         ),
-        F.lit("   - Konversi tipe data numerik"),
-        F.lit(""),
-        F.lit("3. Handling Missing Values:"),
-        F.concat(
-            F.lit("   - "),
-            F.when(F.col("missing_before") == 0, none_missing).otherwise(some_missing),
+        F.transform(F.concat(F.col("steps"), F.array(duplicates)), bullet),
+        F.array(
+            F.lit(""),
+            F.lit("2. Handling Missing Values:"),
+            bullet(F.when(F.col("missing_before") == 0, none_missing).otherwise(some_missing)),
+            F.lit(""),
+            F.lit("3. Outlier Detection & Handling:"),
+            bullet(F.concat(F.lit("Metode IQR: "), listing("iqr"))),
+            bullet(F.concat(F.lit("Metode Z-Score: "), listing("zscore"))),
+            bullet(F.lit("Penanganan: Capping/Winsorization (mengganti outlier dengan batas IQR)")),
         ),
-        F.lit("   - Handler tetap disiapkan untuk antisipasi data baru"),
-        F.lit(""),
-        F.lit("4. Outlier Detection & Handling:"),
-        F.concat(F.lit("   - Metode IQR: "), listing("iqr")),
-        F.concat(F.lit("   - Metode Z-Score: "), listing("zscore")),
-        F.lit("   - Penanganan: Capping/Winsorization (mengganti outlier dengan batas IQR)"),
-        F.lit(""),
-        F.lit("5. Export Dataset Bersih ke CSV"),
     ]
-    numbered = F.array(
-        *[F.struct(F.lit(i).alias("line_no"), x.alias("line")) for i, x in enumerate(lines, 1)]
+    return summary.select(F.posexplode(F.concat(*parts)).alias("line_no", "line")).withColumn(
+        "line_no", F.col("line_no") + 1
     )
-    return summary.select(F.inline(numbered))
 
 
 def write_text(lines: DataFrame, path: str) -> None:

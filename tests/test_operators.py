@@ -475,3 +475,18 @@ def test_text_with_line_breaks_and_backslashes_comes_back(spark, tmp_path):
         spark, f"{tmp_path}/plain", df.schema, sep=",", missing=[""], escaped_breaks=False, multi_line=True
     )
     assert {r.id: r.t for r in found.collect()} == dict(enumerate(texts))
+
+
+def test_accuracy_counts_a_missing_prediction_as_wrong(spark):
+    rows = spark.createDataFrame([(0, 0), (1, 1), (1, None), (0, 1)], "y int, p int")
+    both = evaluate.accuracy(rows, "y", "p").first()["accuracy"], evaluate.trace_accuracy(
+        evaluate.confusion_counts(rows, "y", "p")
+    ).first()["share"]
+    assert both == (0.5, 0.5)
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_a_missing_feature_has_no_neighbours(spark, bad):
+    df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, bad)], "id long, x double")
+    with pytest.raises(Exception, match="feature x is missing"):
+        neighbors.knn_pairs(df, ["x"], "id", 1).collect()
