@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.models.registry import ModelSpec, Problem, default_registry, gaussian_spec
+from sievework.models.registry import ModelSpec, Problem, default_registry, gaussian_spec, tree_spec
 from sievework.operators import auc, evaluate, ranking, scale, smote
 from sievework.plans import search
 from sievework.session import materialize
@@ -186,3 +186,67 @@ def final_models(
         cv,
         best,
     )
+
+
+@dataclass(frozen=True)
+class Experiment:
+    """One row per model, the classes of each, and the parameters each was given."""
+
+    table: DataFrame
+    detail: DataFrame
+    chosen: dict[str, dict[str, Any]]
+
+
+def _experiment(runs: Mapping[str, Evaluation], chosen: dict[str, dict[str, Any]]) -> Experiment:
+    details = [r.report.withColumn("model", F.lit(name)) for name, r in runs.items()]
+    return Experiment(
+        ranking.rank_models(ranking.union_all(*[r.metrics for r in runs.values()])),
+        evaluate.round_metrics(ranking.union_all(*details)),
+        chosen,
+    )
+
+
+def experiment_plain(train: DataFrame, test: DataFrame, problem: Problem) -> Experiment:
+    """Naive Bayes against the decision tree, both as they come, on the training rows as they are."""
+    specs = [gaussian_spec(), tree_spec()]
+    runs = {s.name: evaluate_model(s, train, test, problem, "none") for s in specs}
+    return _experiment(runs, {name: {} for name in runs})
+
+
+def tuned_gaussian(
+    train: DataFrame,
+    prepared: search.Folds,
+    problem: Problem,
+    smoothings: Sequence[float] = tuple(search.NB_GRID["var_smoothing"]),
+) -> tuple[ModelSpec, float]:
+    """Naive Bayes with the smoothing that wins the search over ``prepared`` folds."""
+    cv = search.search_gnb(prepared, problem.features, problem.label, smoothings)
+    best = smoothings[search.best_candidate(cv).first()["candidate_id"]]
+    return gaussian_spec(best), best
+
+
+def experiment_tuned(
+    train: DataFrame,
+    test: DataFrame,
+    problem: Problem,
+    tree_grid: Mapping[str, Sequence[Any]] = search.DT_GRID,
+    folds: int = 5,
+    smote_k: int = 3,
+) -> Experiment:
+    """Both models with the settings that win a search on resampled folds, refitted on resampled rows."""
+    features, label, key = list(problem.features), problem.label, problem.key
+    prepared = search.prepare_folds(train, features, label, key, folds, smote_k)
+    gaussian, smoothing = tuned_gaussian(train, prepared, problem)
+    cv = materialize(search.search_tree(prepared, features, label, tree_grid), "cv")
+    best = search.candidates(tree_grid)[search.best_candidate(cv).first()["candidate_id"]]
+
+    def fit_best(rows: DataFrame, p: Problem):
+        return search.refit_tree(rows, features, label, key, p.n_classes, best, smote_k)
+
+    balanced = smote.materialized_smote(train, features, label, key, k=smote_k)
+    scenario = f"smote_k{smote_k}"
+    runs = {
+        gaussian.name: evaluate_model(gaussian, balanced, test, problem, scenario),
+        "Decision Tree": evaluate_model(ModelSpec("Decision Tree", fit_best), train, test, problem, scenario),
+    }
+    return _experiment(runs, {gaussian.name: {"var_smoothing": smoothing}, "Decision Tree": best})

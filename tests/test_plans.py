@@ -215,3 +215,14 @@ spark = build_session(2, "elsewhere", **{{"spark.checkpoint.dir": {str(tmp_path)
 assert catalog.QUERIES["knn_within_class"](spark, "/root/testdata/sf0.001").count() > 0
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, timeout=300)
+
+
+def test_experiments_with_both_models(spark):
+    train, test = learn._train_test(spark, SF)
+    plain = comparison.experiment_plain(train, test, learn.PROBLEM)
+    assert {(r.model, r.smote) for r in plain.table.collect()} == {("Naive Bayes", "none"), ("Decision Tree", "none")}
+    small = {"criterion": ["gini"], "max_depth": [3, None], "max_features": [None], "min_samples_leaf": [1], "min_samples_split": [2]}
+    tuned = comparison.experiment_tuned(train, test, learn.PROBLEM, small)
+    assert {r.smote for r in tuned.table.collect()} == {"smote_k3"} and tuned.table.count() == 2
+    assert tuned.chosen["Decision Tree"]["max_depth"] in (3, None)
+    assert tuned.chosen["Naive Bayes"]["var_smoothing"] in search.NB_GRID["var_smoothing"]
