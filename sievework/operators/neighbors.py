@@ -7,8 +7,9 @@ No pair of rows beyond the k nearest ever leaves a task, and no task holds an un
 2. Space is cut into cells of about ``cell_rows`` places. Cut lines come from a bounded sample;
    they only decide where a place is looked up, never whether it counts.
 3. Each distinct query place is compared with its own cell, which gives a distance limit.
-4. It is then compared with every other cell whose bounding box lies within that limit, and the
-   best k of all answers are kept. A cell beyond the limit cannot hold a nearer row.
+4. It is then compared with every other cell whose bounding box lies within that limit (found from
+   the root of the cut tree down), and the best k of all answers are kept. A cell beyond the limit
+   cannot hold a nearer row.
 
 Cells with many rows or queries are cut further into slices, so a wrongly guessed cell size only
 means more tasks. Order is (squared distance, key), so ties are decided by the key.
@@ -26,41 +27,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from sievework.functions import scalars as S
 from sievework.functions.portable import SEED
 from sievework.operators.skew import salted_join
 from sievework.session import collect_few, materialize
 
 CELL_ROWS = 4096
-SAMPLE_ROWS = 400_000
-SAMPLE_PER_CELL = 64
-MAX_CELLS = 32_768
+SAMPLE_ROWS = 4_000_000
+SAMPLE_PER_CELL = 32
+MAX_CELLS = 131_072
 _BLOCK_CELLS = 2_000_000  # distances held at once in a task
 
 
 @dataclass(frozen=True)
-class _Cut:
-    """One node of a group's cut tree: below ``at`` go left, else right; a leaf has ``cell``."""
-
-    dim: int
-    at: float
-    left: int
-    right: int
-    cell: int
+class _Tree:
+    """A group's cut tree in arrays: below ``at`` go left, else right; a leaf has ``cell`` >= 0.
 
+    Children come after their node. ``n``, ``lo`` and ``hi`` are the rows and the box of all cells
+    below a node, once :meth:`filled` has told them.
+    """
 
-def _grow(points: np.ndarray, cells: int, first_cell: int) -> list[_Cut]:
+    dim: np.ndarray
+    at: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    cell: np.ndarray
+    n: np.ndarray | None = None
+    lo: np.ndarray | None = None
+    hi: np.ndarray | None = None
+
+    def filled(self, cells: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> _Tree:
+        """The same tree with the sizes and boxes of its cells, added up from the leaves."""
+        place = {int(c): i for i, c in enumerate(cells)}
+        width = lo.shape[1]
+        count = np.zeros(len(self.cell), dtype=np.int64)
+        low = np.full((len(self.cell), width), np.inf)
+        high = np.full((len(self.cell), width), -np.inf)
+        for i in reversed(range(len(self.cell))):
+            if self.cell[i] >= 0:
+                j = place.get(int(self.cell[i]))
+                if j is not None:
+                    count[i], low[i], high[i] = n[j], lo[j], hi[j]
+            else:
+                kids = [self.left[i], self.right[i]]
+                count[i] = count[kids].sum()
+                low[i], high[i] = low[kids].min(axis=0), high[kids].max(axis=0)
+        return _Tree(self.dim, self.at, self.left, self.right, self.cell, count, low, high)
+
+
+def _grow(points: np.ndarray, cells: int, first_cell: int) -> _Tree:
     """Halve the widest side at its median until the wanted number of cells is reached."""
-    nodes: list[_Cut] = []
+    nodes: list[tuple[int, float, int, int, int]] = []
     counter = [first_cell]
 
     def grow(pts: np.ndarray, wanted: int) -> int:
         me = len(nodes)
-        nodes.append(_Cut(-1, 0.0, -1, -1, -1))
+        nodes.append((-1, 0.0, -1, -1, -1))
         spread = pts.max(axis=0) - pts.min(axis=0) if len(pts) else np.zeros(points.shape[1])
         dim = int(spread.argmax())
         if wanted <= 1 or len(pts) < 2 or spread[dim] == 0:
-            nodes[me] = _Cut(-1, 0.0, -1, -1, counter[0])
+            nodes[me] = (-1, 0.0, -1, -1, counter[0])
             counter[0] += 1
             return me
         at = float(np.median(pts[:, dim]))
@@ -70,28 +95,72 @@ def _grow(points: np.ndarray, cells: int, first_cell: int) -> list[_Cut]:
             low = pts[:, dim] < at
         left = grow(pts[low], wanted // 2)
         right = grow(pts[~low], wanted - wanted // 2)
-        nodes[me] = _Cut(dim, at, left, right, -1)
+        nodes[me] = (dim, at, left, right, -1)
         return me
 
     grow(points, cells)
-    return nodes
+    return _Tree(*(np.array(column) for column in zip(*nodes)))
 
 
-def _locate(nodes: Sequence[_Cut], points: np.ndarray) -> np.ndarray:
+def _locate(tree: _Tree, points: np.ndarray) -> np.ndarray:
     """Cell of each point."""
     out = np.empty(len(points), dtype=np.int32)
     todo = [(0, np.arange(len(points)))]
     while todo:
         i, idx = todo.pop()
-        node = nodes[i]
-        if node.cell >= 0:
-            out[idx] = node.cell
+        if tree.cell[i] >= 0:
+            out[idx] = tree.cell[i]
         elif len(idx):
-            low = points[idx, node.dim] < node.at
-            todo += [(node.left, idx[low]), (node.right, idx[~low])]
+            low = points[idx, tree.dim[i]] < tree.at[i]
+            todo += [(tree.left[i], idx[low]), (tree.right[i], idx[~low])]
     return out
 
 
+def _box_distance(tree: _Tree, i: int, points: np.ndarray, farthest: bool = False) -> np.ndarray:
+    """Squared distance of each point to the nearest (or farthest) spot of a node's box."""
+    below, above = tree.lo[i] - points, points - tree.hi[i]
+    gap = np.maximum(np.abs(below), np.abs(above)) if farthest else np.maximum(np.maximum(below, above), 0.0)
+    return (gap * gap).sum(axis=1)
+
+
+def _limits(tree: _Tree, points: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which k rows lie: the far side of the smallest box on a point's way with k rows."""
+    bound = np.full(len(points), np.inf)
+    todo = [(0, np.arange(len(points)))]
+    while todo:
+        i, idx = todo.pop()
+        if not len(idx) or tree.n[i] < k:
+            continue
+        bound[idx] = np.minimum(bound[idx], _box_distance(tree, i, points[idx], farthest=True))
+        if tree.cell[i] < 0:
+            low = points[idx, tree.dim[i]] < tree.at[i]
+            todo += [(tree.left[i], idx[low]), (tree.right[i], idx[~low])]
+    return bound
+
+
+def _cells_within(tree: _Tree, points: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(point, cell) of all cells whose box is within a point's limit, and how many boxes were compared.
+
+    From the root down only the children of boxes within the limit are looked at.
+    """
+    rows, cells, compared = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 0
+    # A hair of slack: box and row distances are rounded separately.
+    slack = limit * (1 + 1e-9)
+    todo = [(0, np.arange(len(points)))]
+    while todo:
+        i, idx = todo.pop()
+        if not len(idx) or tree.n[i] == 0:
+            continue
+        compared += len(idx)
+        idx = idx[_box_distance(tree, i, points[idx]) <= slack[idx]]
+        if tree.cell[i] >= 0:
+            rows.append(idx)
+            cells.append(np.full(len(idx), tree.cell[i], dtype=np.int32))
+        else:
+            todo += [(tree.left[i], idx), (tree.right[i], idx)]
+    return np.concatenate(rows), np.concatenate(cells), compared
+
+
 def _nearest_in(q: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, base row, squared distance) of the k nearest; ``b`` is in key order."""
     rows, cols, dist = [], [], []
@@ -177,14 +246,14 @@ def neighbor_lists(
         if total > enough:
             big_spots = big_spots.sample(fraction=enough / total, seed=SEED)
         sample = big_spots.toPandas()
-    trees: dict[str, list[_Cut]] = {}
+    trees: dict[str, _Tree] = {}
     next_cell = 0
     by_group = {g: part[xs].to_numpy(dtype=float) for g, part in sample.groupby("_g")}
     for g in sorted(sizes):
         points = by_group.get(g, np.zeros((0, len(xs))))
         points = points[np.lexsort(points.T)] if len(points) else points
         trees[g] = _grow(points, max(1, -(-sizes[g] // per_cell)), next_cell)
-        next_cell += sum(1 for node in trees[g] if node.cell >= 0)
+        next_cell += int((trees[g].cell >= 0).sum())
 
     key_type = base.schema[key].dataType
     place_fields = [T.StructField("_g", T.StringType())] + [T.StructField(x, T.DoubleType()) for x in xs]
@@ -213,9 +282,14 @@ def neighbor_lists(
 
     single = next_cell == len(sizes)
     if single:  # one cell per group: its number is a lookup, and no other cell needs asking
-        cell_of = {g: trees[g][0].cell for g in sizes} or {"": 0}
-        in_cells = places.withColumn("_cell", S.recode("_g", cell_of))
-        ask = wanted.withColumn("_cell", S.recode("_g", cell_of)).where("_cell IS NOT NULL")
+        cells = [(g, int(trees[g].cell[0])) for g in sizes]
+
+        def numbered(df: DataFrame) -> DataFrame:
+            # One row per group, and no more groups than collect_few has let through.
+            cell_of = df.sparkSession.createDataFrame(cells, "_g string, _cell int")
+            return df.join(F.broadcast(cell_of), "_g")
+
+        in_cells, ask = numbered(places), numbered(wanted)
     else:
         in_cells = materialize(to_cells(places), "neighbor-cells")
         ask = materialize(to_cells(wanted).where("_cell >= 0"), "neighbor-queries")
@@ -268,16 +342,15 @@ def neighbor_lists(
     if not single:
         answers = materialize(answers, "neighbor-own-cell")
         boxes = bounds.toPandas().sort_values("_cell").reset_index(drop=True)
-        group_of = {c.cell: g for g, nodes in trees.items() for c in nodes if c.cell >= 0}
-        box_groups = boxes["_cell"].map(group_of).to_numpy() if len(boxes) else np.array([])
-        box = {
-            g: (
-                boxes.loc[box_groups == g, "_cell"].to_numpy(dtype=np.int32),
-                boxes.loc[box_groups == g, "n"].to_numpy(),
-                boxes.loc[box_groups == g, [f"lo{x}" for x in xs]].to_numpy(dtype=float),
-                boxes.loc[box_groups == g, [f"hi{x}" for x in xs]].to_numpy(dtype=float),
+        group_of = {int(c): g for g, tree in trees.items() for c in tree.cell if c >= 0}
+        known = {
+            g: trees[g].filled(
+                part["_cell"].to_numpy(),
+                part["n"].to_numpy(),
+                part[[f"lo{x}" for x in xs]].to_numpy(dtype=float),
+                part[[f"hi{x}" for x in xs]].to_numpy(dtype=float),
             )
-            for g in sizes
+            for g, part in boxes.groupby(boxes["_cell"].map(group_of))
         }
         # 3. Distance of the k-th answer so far; none yet when the own cell is too small.
         so_far = F.array_sort(F.collect_list("d2"))
@@ -295,29 +368,14 @@ def neighbor_lists(
                 limit = pdf["limit"].to_numpy(dtype=float, na_value=np.nan)
                 own = pdf["_cell"].to_numpy()
                 for g, idx in pdf.groupby("_g").indices.items():
-                    cells, counts, lo, hi = box[g]
-                    step = max(1, _BLOCK_CELLS // max(1, len(cells)))
-                    for start in range(0, len(idx), step):
-                        part = idx[start : start + step]
-                        near = np.zeros((len(part), len(cells)))
-                        far = np.zeros((len(part), len(cells)))
-                        for j in range(len(xs)):
-                            p = points[part, j : j + 1]
-                            gap = np.maximum(np.maximum(lo[None, :, j] - p, p - hi[None, :, j]), 0.0)
-                            near += gap * gap
-                            reach = np.maximum(np.abs(p - lo[None, :, j]), np.abs(p - hi[None, :, j]))
-                            far += reach * reach
-                        bound = limit[part]
-                        for i in np.nonzero(np.isnan(bound))[0]:
-                            order = np.argsort(far[i], kind="stable")
-                            enough = np.searchsorted(np.cumsum(counts[order]), k)
-                            bound[i] = far[i, order[enough]] if enough < len(order) else np.inf
-                        # A hair of slack: box and row distances are rounded separately.
-                        r, c = np.nonzero(near <= bound[:, None] * (1 + 1e-9))
-                        keep = cells[c] != own[part][r]
-                        r, c = r[keep], c[keep]
-                        if len(r):
-                            yield pdf.iloc[part[r]][["_g", *xs]].assign(_cell=cells[c])
+                    bound = limit[idx]
+                    open_ = np.isnan(bound)
+                    bound[open_] = _limits(known[g], points[idx[open_]], k)
+                    r, cells, _ = _cells_within(known[g], points[idx], bound)
+                    keep = cells != own[idx][r]
+                    r, cells = r[keep], cells[keep]
+                    if len(r):
+                        yield pdf.iloc[idx[r]][["_g", *xs]].assign(_cell=cells)
 
         # 4. Ask the other cells that are near enough.
         more = materialize(asked.mapInPandas(other_cells, other_type), "neighbor-more")

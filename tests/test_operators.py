@@ -490,3 +490,24 @@ def test_a_missing_feature_has_no_neighbours(spark, bad):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, bad)], "id long, x double")
     with pytest.raises(Exception, match="feature x is missing"):
         neighbors.knn_pairs(df, ["x"], "id", 1).collect()
+
+
+def test_range_descent_finds_the_cells_and_compares_few_boxes():
+    rng = np.random.default_rng(5)
+    points = rng.random((40_000, 3))
+    tree = neighbors._grow(points, 1024, 0)
+    cell = neighbors._locate(tree, points)
+    order = np.argsort(cell, kind="stable")
+    cells, first = np.unique(cell[order], return_index=True)
+    parts = np.split(points[order], first[1:])
+    lo, hi = (np.array([f(p, axis=0) for p in parts]) for f in (np.min, np.max))
+    tree = tree.filled(cells, np.array([len(p) for p in parts]), lo, hi)
+    asked, limit = points[:300], np.full(300, 0.03**2)
+    rows, found, compared = neighbors._cells_within(tree, asked, limit)
+    gap = np.maximum(np.maximum(lo[None] - asked[:, None], asked[:, None] - hi[None]), 0)
+    want = {(i, int(cells[j])) for i, j in zip(*np.nonzero((gap**2).sum(2) <= limit[:, None]))}
+    assert set(zip(rows.tolist(), found.tolist())) == want
+    assert compared < 0.15 * 300 * len(cells)
+    far = neighbors._limits(tree, asked, 5)
+    for p, d in zip(asked[:50], far):
+        assert (((points - p) ** 2).sum(1) <= d).sum() >= 5
