@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_helper: dict[tuple, object] = {}
+
+
+def helper(make: Callable, *args: object):
+    """``make(*args)``, kept by a Python worker until it asks for another one.
+
+    Workers serve one stage after the other, so the tables of the last stage's helper are let go.
+    """
+    key = (make, *args)
+    if key not in _helper:
+        _helper.clear()
+        _helper[key] = make(*args)
+    return _helper[key]
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in short record batches, so that a task never holds many texts as objects."""
     for batch in batches:
