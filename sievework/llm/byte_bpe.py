@@ -12,16 +12,17 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sievework.llm.common import WHITE, id_and_text, slices, texts
+from sievework.llm.common import WHITE, helper, id_and_text, slices, texts
 from sievework.llm.word_pieces import Bounded
 
+#: Chunks and pieces kept per Python worker.
+KEPT = 400_000
 _NONE = 1 << 62
 _PLACE = (1 << 32) - 1
 
@@ -96,8 +97,8 @@ class ByteBPE:
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.pieces = Bounded(lambda p: self._packed(merge(p.encode(), self.ranks)), 800_000)
-        self.chunks = Bounded(lambda c: b"".join(map(self.pieces.__getitem__, self.pattern.findall(c))), 600_000)
+        self.pieces = Bounded(lambda p: self._packed(merge(p.encode(), self.ranks)), KEPT)
+        self.chunks = Bounded(lambda c: b"".join(map(self.pieces.__getitem__, self.pattern.findall(c))), KEPT)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.tokens[i] = token
@@ -117,12 +118,6 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> ByteBPE:
-    """One per Python worker, rank file and pattern."""
-    return ByteBPE(path, pattern)
-
-
 def encode(
     docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -134,7 +129,7 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(ranks, pattern)
+        own = helper(ByteBPE, ranks, pattern)
         for batch in slices(batches):
             ids = [own.encode(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(

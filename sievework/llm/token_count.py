@@ -7,14 +7,13 @@ again; the count is the initial symbols minus the merges. No token id is ever lo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import id_and_text, slices, texts, utf8_bytes
+from sievework.llm.common import helper, id_and_text, slices, texts, utf8_bytes
 from sievework.llm.word_pieces import Bounded, WordPieces, words
 
 END_OF_WORD = "</w>"
@@ -89,12 +88,6 @@ class TokenCounter:
         return sum(map(self.by_word.__getitem__, words(text)))
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> TokenCounter:
-    """One per Python worker and vocabulary."""
-    return TokenCounter(path)
-
-
 def count_tokens(
     docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -107,7 +100,7 @@ def count_tokens(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary).count
+        count = helper(TokenCounter, vocabulary).count
         for batch in slices(batches):
             n = [count(t) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays(

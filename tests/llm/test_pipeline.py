@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from odd_texts import ODD_TEXTS
 
@@ -70,7 +71,7 @@ def test_secret_stage_changes_only_secrets(stages):
 
 def test_encoding_stage_gives_the_texts_back(stages):
     docs, done = stages[4]
-    coder = byte_bpe.coder(queries.BYTE_RANKS, __import__("public_tokenizers").PATTERN)
+    coder = byte_bpe.ByteBPE(queries.BYTE_RANKS, public_tokenizers.PATTERN)
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in done.collect():
         assert bytes(r.ids) == coder.encode(texts.pop(r.doc_id)) and coder.decode(bytes(r.ids)) == bytes(r.decoded)
