@@ -3,13 +3,15 @@
 Words become canonical: numbers, capitalised words and units turn into typed slots, the others into lower
 case. Windows of canonical words are hashed and joined with the windows of the benchmark items, and along
 each alignment of a document with an item the slot values must map one to one, so a question with other
-numbers or names is caught and a chance sequence of slots is not.
+numbers or names is caught and a chance sequence of slots is not. The same is done without slots, all
+words in lower case, so that a copy in other capitals is caught as well.
 """
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import slices, texts
-from sievework.llm.word_pieces import Bounded, words
+from sievework.llm.common import helper, slices, texts
+from sievework.llm.word_pieces import Bounded
 from sievework.session import materialize
 
 #: Words of a window; shorter items are one window of their own length.
@@ -37,8 +39,12 @@ UNITS = (
     "usd eur gbp percent dollars euros cents meters metres miles hours minutes seconds days weeks months years"
 ).split()
 
-_WORD = regex.compile(r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+")
+_NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
+_WORD = regex.compile(_NUMBER + r"|[\p{L}\p{M}]+")
+#: The same over Latin-1, which the faster module can do.
+_LATIN = re.compile(f"{_NUMBER}|[{''.join(c for c in map(chr, range(256)) if c.isalpha())}]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = struct.Struct("<QQ").pack
 _SLOT = {"num": b"<num>", "name": b"<name>", "unit": b"<unit>"}
 
 
@@ -54,29 +60,28 @@ def slot_of(word: str) -> str | None:
 _UNITS = frozenset(UNITS)
 
 
+def split(text: str) -> list[str]:
+    """Numbers and words of a text, without marks."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return _LATIN.findall(text)
+
+
 class Canon:
-    """Canonical words, found out once per white-space separated word."""
+    """Hashes of words, found out once per word."""
 
     def __init__(self) -> None:
-        #: 8 bytes of hash per canonical word, and 1 byte per word that tells whether it is a slot.
-        self.hashes = Bounded(lambda w: self._word(w)[0], 600_000)
-        self.slots = Bounded(lambda w: self._word(w)[1], 600_000)
+        #: 16 bytes: hash of the canonical word, whose lowest bit tells a slot, and of the lower-case word.
+        self.hashes = Bounded(self._word, 500_000)
 
     @staticmethod
-    def _word(word: str) -> tuple[bytes, bytes]:
-        hashes, slots = [], []
-        for w in _WORD.findall(word):
-            kind = slot_of(w)
-            plain = _SLOT[kind] if kind else w.lower().encode()
-            hashes.append(xxhash.xxh64_digest(plain)[::-1])
-            slots.append(1 if kind else 0)
-        return b"".join(hashes), bytes(slots)
-
-
-@lru_cache(maxsize=1)
-def canon() -> Canon:
-    """One per Python worker."""
-    return Canon()
+    def _word(word: str) -> bytes:
+        kind = slot_of(word)
+        plain = xxhash.xxh64_intdigest(word.lower()) & ~1
+        canonical = plain if kind is None else xxhash.xxh64_intdigest(_SLOT[kind]) | 1
+        return _PAIR(canonical, plain)
 
 
 def _window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -89,64 +94,96 @@ def _window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _windows(many: list[str], widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(width, text number, position, hash) of all windows with enough plain words."""
-    own = canon()
-    split = [words(t) for t in many]
-    packed = [b"".join(map(own.hashes.__getitem__, ws)) for ws in split]
-    h = np.frombuffer(b"".join(packed), "<u8")
-    slot = np.frombuffer(b"".join(b"".join(map(own.slots.__getitem__, ws)) for ws in split), np.uint8)
-    n = np.fromiter((len(p) // 8 for p in packed), np.int64, len(packed))
+def _windows(many: list[str], widths: list[int]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, with slots, text number, position, hash): windows with enough plain words, and all in lower case."""
+    get = helper(Canon).hashes.__getitem__
+    packed = [b"".join(map(get, split(t))) for t in many]
+    both = np.frombuffer(b"".join(packed), "<u8").reshape(-1, 2)
+    h, plain = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+    slot = (h & np.uint64(1)).astype(np.int64)
+    n = np.fromiter((len(p) // 16 for p in packed), np.int64, len(packed))
     text = np.repeat(np.arange(len(many)), n)
     start = np.repeat(np.cumsum(n) - n, n)
-    before = np.concatenate([[0], np.cumsum(slot, dtype=np.int64)])
+    before = np.concatenate([[0], np.cumsum(slot)])
     for width in widths:
         if len(h) < width:
             continue
         last = len(h) - width + 1
-        fits = text[:last] == text[width - 1 :]
-        fits &= (before[width : width + last] - before[:last]) * 2 <= width
-        at = np.flatnonzero(fits)
-        yield width, text[at], at - start[at], _window_hashes(h, width)[at]
+        whole = text[:last] == text[width - 1 :]
+        at = np.flatnonzero(whole & ((before[width : width + last] - before[:last]) * 2 <= width))
+        yield width, True, text[at], at - start[at], _window_hashes(h, width)[at]
+        at = np.flatnonzero(whole)
+        yield width, False, text[at], at - start[at], ~_window_hashes(plain, width)[at]
+
+
+def _first(text_no: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal windows of a text only the first, so that repeated passages meet an item once."""
+    order = np.lexsort((at, h, text_no))
+    t, w = text_no[order], h[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
+    kept = np.sort(order[new])
+    return text_no[kept], at[kept], h[kept]
 
 
 def _slot_values(text: str) -> list[str | None]:
     """``type:value`` for each canonical word that is a slot."""
     found = []
-    for w in _WORD.findall(text):
+    for w in split(text):
         kind = slot_of(w)
         found.append(f"{kind}:{w.lower()}" if kind else None)
     return found
 
 
-def _rows(key: pa.Array, text_no: np.ndarray, at: np.ndarray, h: np.ndarray, width: int, values: list) -> pa.RecordBatch:
-    slots = [[v for v in values[t][p : p + width] if v] for t, p in zip(text_no.tolist(), at.tolist(), strict=True)]
+def _rows(
+    key: pa.Array, text_no: np.ndarray, at: np.ndarray, h: np.ndarray, width: int, slotted: bool, values: list | dict
+) -> pa.RecordBatch:
+    places = zip(text_no.tolist(), at.tolist(), strict=True)
+    slots = [[v for v in values[t][p : p + width] if v] if slotted else [] for t, p in places]
     return pa.RecordBatch.from_arrays(
-        [key.take(pa.array(text_no)), pa.array(at, pa.int64()), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.string()))],
-        ["key", "at", "hash", "slots"],
-    )
+        [
+            key.take(pa.array(text_no)),
+            pa.array(at, pa.int64()),
+            pa.array(h.view(np.int64)),
+            pa.array([slotted] * len(at), pa.bool_()),
+            pa.array(slots, pa.list_(pa.string())),
+        ],
+        ["key", "at", "hash", "slotted", "slots"],
+    )
 
 
-_ROW = "key {kind}, at long, hash long, slots array<string>"
+_ROW = "key long, at long, hash long, slotted boolean, slots array<string>"
 
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, n_words, n_windows, at, hash, slots of every window of every item."""
+def item_windows(
+    benchmark: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "item_id", text_col: str = "text"
+) -> DataFrame:
+    """item_id, at, hash, slotted, slots, n_words, need of every different window of every item.
+
+    ``need`` is how many words a document must hold: all if the item is short or repeats itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             many = texts(batch, "text")
             values = [_slot_values(t) for t in many]
             short = {len(v) for v in values if 0 < len(v) < WINDOW}
-            for width, text_no, at, h in _windows(many, [*sorted(short), WINDOW]):
+            found, need = [], {}
+            for width, slotted, text_no, at, h in _windows(many, [*sorted(short), WINDOW]):
                 lengths = np.array([len(values[t]) for t in text_no], np.int64)
                 mine = lengths == width if width < WINDOW else lengths >= WINDOW
-                text_no, at, h, lengths = text_no[mine], at[mine], h[mine], lengths[mine]
-                rows = _rows(batch.column(0), text_no, at, h, width, values)
-                yield rows.append_column("n_words", pa.array(lengths))
+                text_no, at, h = _first(text_no[mine], at[mine], h[mine])
+                lengths = np.array([len(values[t]) for t in text_no], np.int64)
+                if not slotted:
+                    different = np.bincount(text_no, minlength=len(many)) + width - 1
+                    need.update({t: min(len(values[t]), least_words, int(different[t])) for t in set(text_no.tolist())})
+                rows = _rows(batch.column(0), text_no, at, h, width, slotted, values)
+                found.append((rows.append_column("n_words", pa.array(lengths)), text_no))
+            for rows, text_no in found:
+                yield rows.append_column("need", pa.array([need[t] for t in text_no.tolist()], pa.int64()))
 
     read = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, _ROW.format(kind="long") + ", n_words long").withColumnRenamed("key", "item_id")
+    return read.mapInArrow(run, _ROW + ", n_words long, need long").withColumnRenamed("key", "item_id")
 
 
 def leaks(
@@ -159,16 +196,17 @@ def leaks(
     """doc_id, item_id, words, item_words, slots, changed_slots: one row per document and item it holds.
 
     A document holds an item if windows that cover ``least_words`` of its words (all of a shorter item) align
-    with it and the slot values along each alignment map one to one; ``changed_slots`` counts the values that
-    differ. Whole texts are searched. Null and empty texts and items hold nothing; items whose every window
-    is mostly slots cannot be told from chance and are not searched for; repeated rows with one id are one
+    with it (of equal windows of a text the first counts, so ``words`` of an item that repeats itself are
+    those of its different windows) and the slot values along each alignment map one to one; ``changed_slots`` counts the values that
+    differ. Whole texts are searched. Null and empty texts and items hold nothing; windows that are mostly
+    slots cannot be told from chance and count only word by word; repeated rows with one id are one
     document, a null id is reported as null; empty tables give an empty one; other columns are not read.
 
     Only windows that pass a filter of fixed size leave a task, and they are joined by hash with the
     benchmark's windows.
     """
     spark = docs.sparkSession
-    items = materialize(item_windows(benchmark), "benchmark-windows")
+    items = materialize(item_windows(benchmark, least_words), "benchmark-windows")
     widths = sorted(
         r[0] for r in items.select(F.least(F.col("n_words"), F.lit(WINDOW))).distinct().collect()
     )  # at most WINDOW values
@@ -184,20 +222,22 @@ def leaks(
         for batch in slices(batches):
             many = texts(batch, "text")
             values: dict[int, list] = {}
-            for width, text_no, at, h in _windows(many, widths):
+            for width, slotted, text_no, at, h in _windows(many, widths):
                 p = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 hit = np.flatnonzero((passed[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
                 if hit.size:
-                    for t in np.unique(text_no[hit]).tolist():
+                    no, first, same = _first(text_no[hit], at[hit], h[hit])
+                    for t in np.unique(no).tolist() if slotted else ():
                         values.setdefault(t, _slot_values(many[t]))
-                    yield _rows(batch.column(0), text_no[hit], at[hit], h[hit], width, values)
+                    yield _rows(batch.column(0), no, first, same, width, slotted, values)
 
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hits = read.mapInArrow(run, _ROW.format(kind="long")).withColumnsRenamed({"key": "doc_id", "at": "doc_at", "slots": "doc_slots"})
+    hits = read.mapInArrow(run, _ROW).withColumnsRenamed({"key": "doc_id", "at": "doc_at", "slots": "doc_slots"})
     pairs = F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc"))
-    joined = hits.join(items, "hash").where(F.size("slots") == F.size("doc_slots"))
+    joined = hits.join(items, ["hash", "slotted"]).where(F.size("slots") == F.size("doc_slots"))
     # One row per alignment; an item's length bounds what a group can hold.
-    aligned = joined.groupBy("doc_id", "item_id", "n_words", (F.col("doc_at") - F.col("at")).alias("shift")).agg(
+    shift = (F.col("doc_at") - F.col("at")).alias("shift")
+    aligned = joined.groupBy("doc_id", "item_id", "n_words", "need", "slotted", shift).agg(
         F.collect_set("at").alias("windows"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
@@ -208,13 +248,13 @@ def leaks(
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     held = (
         aligned.where(one_to_one)
-        .groupBy("doc_id", "item_id", "n_words")
+        .groupBy("doc_id", "item_id", "n_words", "need")
         .agg(
             (F.size(F.array_distinct(F.flatten(F.collect_set("windows")))) + F.first(width) - 1).cast("long").alias("words"),
             F.max(F.size("pairs")).cast("long").alias("slots"),
             F.max(changed).cast("long").alias("changed_slots"),
         )
     )
-    return held.where(F.col("words") >= F.least(F.col("n_words"), F.lit(least_words))).select(
+    return held.where(F.col("words") >= F.col("need")).select(
         "doc_id", "item_id", "words", F.col("n_words").alias("item_words"), "slots", "changed_slots"
     )

@@ -134,22 +134,27 @@ WITH w AS (
 c AS (
   SELECT side, id, len(w) AS n,
     list_transform(w, lambda x: coalesce('<' || ({_SLOT_SQL}) || '>', lower(x))) AS canon,
-    list_transform(w, lambda x: ({_SLOT_SQL}) || ':' || lower(x)) AS slot
+    list_transform(w, lambda x: ({_SLOT_SQL}) || ':' || lower(x)) AS slot, list_transform(w, lambda x: lower(x)) AS plain
   FROM w WHERE len(w) > 0),
 widths AS (SELECT DISTINCT least(n, {decontaminate.WINDOW}) AS width FROM c WHERE side = 'item'),
-p AS (
-  SELECT c.*, width, unnest(range(1, n - width + 2)) AS pos FROM c JOIN widths
-    ON n >= width AND (side = 'doc' OR width = least(n, {decontaminate.WINDOW}))),
 win AS (
-  SELECT side, id, n, pos, width, array_to_string(canon[pos:pos + width - 1], ' ') AS canon,
-    list_filter(slot[pos:pos + width - 1], lambda x: x IS NOT NULL) AS slots
-  FROM p),
-few AS (SELECT * FROM win WHERE len(slots) * 2 <= width),
+  SELECT side, id, n, width, unnest(list_transform(range(1, n - width + 2), lambda i: struct_pack(
+    pos := i, canon := array_to_string(canon[i:i + width - 1], ' '),
+    slots := list_filter(slot[i:i + width - 1], lambda x: x IS NOT NULL),
+    plain := array_to_string(plain[i:i + width - 1], ' '))), recursive := true)
+  FROM c JOIN widths ON n >= width AND (side = 'doc' OR width = least(n, {decontaminate.WINDOW}))),
+few AS (
+  SELECT side, id, n, width, true AS slotted, canon, min(pos) AS pos, arg_min(slots, pos) AS slots
+  FROM win WHERE len(slots) * 2 <= width GROUP BY ALL
+  UNION ALL SELECT side, id, n, width, false, plain, min(pos), [] FROM win GROUP BY ALL),
+wanted AS (
+  SELECT id AS item_id, least(n, {decontaminate.LEAST_WORDS}, count(*) + width - 1) AS need
+  FROM few WHERE side = 'item' AND NOT slotted GROUP BY id, n, width),
 hit AS (
-  SELECT d.id AS doc_id, i.id AS item_id, i.n, i.width, d.pos - i.pos AS shift, i.pos, list_zip(i.slots, d.slots) AS pairs
-  FROM few d JOIN few i ON d.side = 'doc' AND i.side = 'item' AND d.canon = i.canon AND d.width = i.width),
+  SELECT d.id AS doc_id, i.id AS item_id, i.n, i.width, i.slotted, d.pos - i.pos AS shift, i.pos, list_zip(i.slots, d.slots) AS pairs
+  FROM few d JOIN few i ON d.side = 'doc' AND i.side = 'item' AND d.canon = i.canon AND d.width = i.width AND d.slotted = i.slotted),
 aligned AS (
-  SELECT doc_id, item_id, n, width, shift, list(DISTINCT pos) AS windows, list_distinct(flatten(list(pairs))) AS pairs
+  SELECT doc_id, item_id, n, width, slotted, shift, list(DISTINCT pos) AS windows, list_distinct(flatten(list(pairs))) AS pairs
   FROM hit GROUP BY ALL),
 one AS (
   SELECT * FROM aligned WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda q: q[1])))
@@ -160,7 +165,7 @@ held AS (
   FROM one GROUP BY doc_id, item_id, n)
 SELECT doc_id, item_id, CAST(words AS BIGINT) AS words, CAST(n AS BIGINT) AS item_words,
   CAST(slots AS BIGINT) AS slots, CAST(changed_slots AS BIGINT) AS changed_slots
-FROM held WHERE words >= least(n, {decontaminate.LEAST_WORDS})"""
+FROM held JOIN wanted USING (item_id) WHERE words >= need"""
 
 #: The other queries train, hash by XXH64, merge by rank, pack bins or walk trees, which SQL cannot express.
 ORACLE: dict[str, str] = {"op5_nearest": _NEAREST_SQL, "op7_decontamination": _LEAKS_SQL}

@@ -53,8 +53,10 @@ def test_copies_and_reparameterised_questions(spark, bench):
         other,
         inconsistent,
         "nothing of the kind " * 30,
-        QUESTION.replace("\n", " ").replace(" ", "\n"),
-    ) == [(0, 1, 0), (0, 6, 0), (1, 1, 4), (1, 6, 4), (4, 1, 0), (4, 6, 0)]
+        QUESTION.replace(" ", "\n"),
+        QUESTION.upper(),
+        QUESTION.lower(),
+    ) == [(k, item, 4 if k == 1 else 0) for k in (0, 1, 4, 5, 6) for item in (1, 6)]
 
 
 def test_windows_on_both_sides_of_an_edit_count_together(spark, bench):
