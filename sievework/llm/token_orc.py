@@ -11,21 +11,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import id_and_text, slices, texts
+from sievework.llm.common import helper, id_and_text, slices, texts
 from sievework.llm.word_pieces import WordPieces
 
 SCHEMA = "doc_id long, n_tokens long, first long, ids array<int>"
 
 
 #: Pieces kept per Python worker; a full table is emptied.
-KEPT = 600_000
+KEPT = 500_000
 #: Pieces that the library encodes in one call.
 _CALL = 4096
 
@@ -66,12 +65,6 @@ class LibraryIds:
         return [b"".join(map(get, ps)) for ps in split]
 
 
-@lru_cache(maxsize=2)
-def library_ids(path: str) -> LibraryIds:
-    """One per Python worker and vocabulary."""
-    return LibraryIds(path)
-
-
 def write_orc(
     docs: DataFrame,
     path: str,
@@ -89,7 +82,7 @@ def write_orc(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, tail = library_ids(vocabulary), end_id.to_bytes(4, "little")
+        own, tail = helper(LibraryIds, vocabulary), end_id.to_bytes(4, "little")
         before = 0
         for batch in slices(batches):
             packed = own.encode(texts(batch, "text"))
