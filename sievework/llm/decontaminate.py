@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import helper, slices, texts
@@ -126,6 +126,13 @@ def _first(text_no: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarr
     return text_no[kept], at[kept], h[kept]
 
 
+def _covered(text_no: np.ndarray, at: np.ndarray, width: int) -> dict[int, int]:
+    """Words of each text that lie in at least one of its windows."""
+    places = np.unique(np.stack([np.repeat(text_no, width), (at[:, None] + np.arange(width)).ravel()]), axis=1)
+    found, n = np.unique(places[0], return_counts=True)
+    return dict(zip(found.tolist(), n.tolist(), strict=True))
+
+
 def _slot_values(text: str) -> list[str | None]:
     """``type:value`` for each canonical word that is a slot."""
     found = []
@@ -175,8 +182,7 @@ def item_windows(
                 text_no, at, h = _first(text_no[mine], at[mine], h[mine])
                 lengths = np.array([len(values[t]) for t in text_no], np.int64)
                 if not slotted:
-                    different = np.bincount(text_no, minlength=len(many)) + width - 1
-                    need.update({t: min(len(values[t]), least_words, int(different[t])) for t in set(text_no.tolist())})
+                    need.update({t: min(len(values[t]), least_words, n) for t, n in _covered(text_no, at, width).items()})
                 rows = _rows(batch.column(0), text_no, at, h, width, slotted, values)
                 found.append((rows.append_column("n_words", pa.array(lengths)), text_no))
             for rows, text_no in found:
@@ -246,11 +252,17 @@ def leaks(
     )
     width = F.least(F.col("n_words"), F.lit(WINDOW))
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
+
+    def covered(windows: Column) -> Column:
+        """How many of the item's words lie in at least one of the windows."""
+        words = F.transform(F.array_distinct(F.flatten(windows)), lambda at: F.sequence(at, at + F.first(width) - 1))
+        return F.size(F.array_distinct(F.flatten(words))).cast("long")
+
     held = (
         aligned.where(one_to_one)
         .groupBy("doc_id", "item_id", "n_words", "need")
         .agg(
-            (F.size(F.array_distinct(F.flatten(F.collect_set("windows")))) + F.first(width) - 1).cast("long").alias("words"),
+            covered(F.collect_set("windows")).alias("words"),
             F.max(F.size("pairs")).cast("long").alias("slots"),
             F.max(changed).cast("long").alias("changed_slots"),
         )

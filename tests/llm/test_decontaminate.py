@@ -66,6 +66,16 @@ def test_windows_on_both_sides_of_an_edit_count_together(spark, bench):
     assert found(spark, bench, " ".join(words[:10])) == []
 
 
+@pytest.mark.parametrize(("length", "changed", "held"), [(17, [8], 16), (20, [9], 19), (35, [8, 17, 26], 32), (40, [8, 17, 26, 35], 32), (15, [7], None), (20, [8, 10], 17)])
+def test_words_held_around_changed_words(spark, length, changed, held):
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(length)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    near = " ".join("other" if k in changed else w for k, w in enumerate(words))
+    docs = spark.createDataFrame([(1, f"before {near} after")], "doc_id long, text string")
+    got = [r.words for r in decontaminate.leaks(docs, item).collect()]
+    assert got == ([] if held is None else [held])
+
+
 def test_short_items_need_all_words_and_slots_alone_prove_nothing(spark, bench):
     assert found(spark, bench, "it is a short one here yes", "a short one there", "Uno Due Tre Quattro 1 2 3 4 5 6 Sette Otto") == [(0, 2, 0)]
 
