@@ -94,8 +94,11 @@ def _window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _windows(many: list[str], widths: list[int]) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]:
-    """(width, with slots, text number, position, hash): windows with enough plain words, and all in lower case."""
+def _windows(
+    many: list[str], widths: list[int]
+) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, with slots, text number, position, hash, has it a slot): windows with enough plain words, and all in
+    lower case."""
     get = helper(Canon).hashes.__getitem__
     packed = [b"".join(map(get, split(t))) for t in many]
     both = np.frombuffer(b"".join(packed), "<u8").reshape(-1, 2)
@@ -110,18 +113,25 @@ def _windows(many: list[str], widths: list[int]) -> Iterator[tuple[int, bool, np
             continue
         last = len(h) - width + 1
         whole = text[:last] == text[width - 1 :]
-        at = np.flatnonzero(whole & ((before[width : width + last] - before[:last]) * 2 <= width))
-        yield width, True, text[at], at - start[at], _window_hashes(h, width)[at]
+        slots = before[width : width + last] - before[:last]
+        at = np.flatnonzero(whole & (slots * 2 <= width))
+        yield width, True, text[at], at - start[at], _window_hashes(h, width)[at], slots[at] > 0
         at = np.flatnonzero(whole)
-        yield width, False, text[at], at - start[at], ~_window_hashes(plain, width)[at]
+        yield width, False, text[at], at - start[at], ~_window_hashes(plain, width)[at], np.zeros(len(at), bool)
 
 
-def _first(text_no: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal windows of a text only the first, so that repeated passages meet an item once."""
+def _first(
+    text_no: np.ndarray, at: np.ndarray, h: np.ndarray, slot: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows with slots, and of equal ones without only the first, so that these meet an item once.
+
+    Slots make the difference along an alignment: a variant of a passage may be consistent where others are not.
+    """
     order = np.lexsort((at, h, text_no))
     t, w = text_no[order], h[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
+    new = slot[order]
+    new[:1] = True
+    new[1:] |= (t[1:] != t[:-1]) | (w[1:] != w[:-1])
     kept = np.sort(order[new])
     return text_no[kept], at[kept], h[kept]
 
@@ -165,9 +175,11 @@ _ROW = "key long, at long, hash long, slotted boolean, slots array<string>"
 def item_windows(
     benchmark: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "item_id", text_col: str = "text"
 ) -> DataFrame:
-    """item_id, at, hash, slotted, slots, n_words, need of every different window of every item.
+    """item_id, at, hash, slotted, slots, n_words, need, need_slotted of every window of every item; of equal ones
+    without slots the first.
 
     ``need`` is how many words a document must hold: all if the item is short or repeats itself.
+    ``need_slotted`` is how many if only windows with slots told apart count: at most those that they cover.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,21 +187,26 @@ def item_windows(
             many = texts(batch, "text")
             values = [_slot_values(t) for t in many]
             short = {len(v) for v in values if 0 < len(v) < WINDOW}
-            found, need = [], {}
-            for width, slotted, text_no, at, h in _windows(many, [*sorted(short), WINDOW]):
+            found, need, told = [], {}, {}
+            for width, slotted, text_no, at, h, slot in _windows(many, [*sorted(short), WINDOW]):
                 lengths = np.array([len(values[t]) for t in text_no], np.int64)
                 mine = lengths == width if width < WINDOW else lengths >= WINDOW
-                text_no, at, h = _first(text_no[mine], at[mine], h[mine])
+                text_no, at, h = _first(text_no[mine], at[mine], h[mine], slot[mine])
                 lengths = np.array([len(values[t]) for t in text_no], np.int64)
-                if not slotted:
+                if slotted:
+                    told |= _covered(text_no, at, width)
+                else:
                     need.update({t: min(len(values[t]), least_words, n) for t, n in _covered(text_no, at, width).items()})
                 rows = _rows(batch.column(0), text_no, at, h, width, slotted, values)
                 found.append((rows.append_column("n_words", pa.array(lengths)), text_no))
             for rows, text_no in found:
-                yield rows.append_column("need", pa.array([need[t] for t in text_no.tolist()], pa.int64()))
+                least = [need[t] for t in text_no.tolist()]
+                slotted = [min(need[t], told.get(t, need[t])) for t in text_no.tolist()]
+                rows = rows.append_column("need", pa.array(least, pa.int64()))
+                yield rows.append_column("need_slotted", pa.array(slotted, pa.int64()))
 
     read = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, _ROW + ", n_words long, need long").withColumnRenamed("key", "item_id")
+    return read.mapInArrow(run, _ROW + ", n_words long, need long, need_slotted long").withColumnRenamed("key", "item_id")
 
 
 def leaks(
@@ -205,7 +222,8 @@ def leaks(
     with it (of equal windows of a text the first counts, so ``words`` of an item that repeats itself are
     those of its different windows) and the slot values along each alignment map one to one; ``changed_slots`` counts the values that
     differ. Whole texts are searched. Null and empty texts and items hold nothing; windows that are mostly
-    slots cannot be told from chance and count only word by word; repeated rows with one id are one
+    slots cannot be told from chance and count only word by word, so where the others cover fewer words of an
+    item than needed, all that these cover will do; repeated rows with one id are one
     document, a null id is reported as null; empty tables give an empty one; other columns are not read.
 
     Only windows that pass a filter of fixed size leave a task, and they are joined by hash with the
@@ -228,11 +246,11 @@ def leaks(
         for batch in slices(batches):
             many = texts(batch, "text")
             values: dict[int, list] = {}
-            for width, slotted, text_no, at, h in _windows(many, widths):
+            for width, slotted, text_no, at, h, slot in _windows(many, widths):
                 p = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 hit = np.flatnonzero((passed[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
                 if hit.size:
-                    no, first, same = _first(text_no[hit], at[hit], h[hit])
+                    no, first, same = _first(text_no[hit], at[hit], h[hit], slot[hit])
                     for t in np.unique(no).tolist() if slotted else ():
                         values.setdefault(t, _slot_values(many[t]))
                     yield _rows(batch.column(0), no, first, same, width, slotted, values)
@@ -243,7 +261,8 @@ def leaks(
     joined = hits.join(items, ["hash", "slotted"]).where(F.size("slots") == F.size("doc_slots"))
     # One row per alignment; an item's length bounds what a group can hold.
     shift = (F.col("doc_at") - F.col("at")).alias("shift")
-    aligned = joined.groupBy("doc_id", "item_id", "n_words", "need", "slotted", shift).agg(
+    item = ["doc_id", "item_id", "n_words", "need", "need_slotted"]
+    aligned = joined.groupBy(*item, "slotted", shift).agg(
         F.collect_set("at").alias("windows"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
     )
@@ -260,13 +279,14 @@ def leaks(
 
     held = (
         aligned.where(one_to_one)
-        .groupBy("doc_id", "item_id", "n_words", "need")
+        .groupBy(*item)
         .agg(
             covered(F.collect_set("windows")).alias("words"),
+            covered(F.collect_set(F.when(F.col("slotted"), F.col("windows")))).alias("told"),
             F.max(F.size("pairs")).cast("long").alias("slots"),
             F.max(changed).cast("long").alias("changed_slots"),
         )
     )
-    return held.where(F.col("words") >= F.col("need")).select(
+    return held.where("words >= need OR told >= need_slotted").select(
         "doc_id", "item_id", "words", F.col("n_words").alias("item_words"), "slots", "changed_slots"
     )

@@ -76,6 +76,22 @@ def test_words_held_around_changed_words(spark, length, changed, held):
     assert got == ([] if held is None else [held])
 
 
+def test_every_variant_of_a_template_is_checked(spark):
+    text = "a farmer sells {} eggs to his brother and then {} eggs to the old man who lives across the river"
+    item = spark.createDataFrame([(1, text.format(5, 7))], "item_id long, text string")
+    first, second = text.format(4, 4), text.format(12, 30)
+    same = text.format(12, 12)  # shares the value of some windows with the consistent variant
+    texts = [first, f"{first}. {second}.", f"{second}. {first}.", f"{same}. {second}.", f"{text[:60].format(12, 12)}. {second}."]
+    assert found(spark, item, *texts) == [(k, 1, 2) for k in (1, 2, 3, 4)]
+
+
+def test_items_with_windows_of_mostly_slots(spark):
+    text = "what is the sum of {} and {} {} {} {}"
+    item = spark.createDataFrame([(1, text.format(1, 2, 3, 4, 5))], "item_id long, text string")
+    texts = [text.format(11, 12, 13, 14, 15), text.format(11, 11, 13, 14, 15), "what is the sum of it", "1 2 3 4 5 6 7 8 9"]
+    assert found(spark, item, *texts) == [(0, 1, 4)]
+
+
 def test_short_items_need_all_words_and_slots_alone_prove_nothing(spark, bench):
     assert found(spark, bench, "it is a short one here yes", "a short one there", "Uno Due Tre Quattro 1 2 3 4 5 6 Sette Otto") == [(0, 2, 0)]
 
