@@ -8,7 +8,7 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import byte_bpe, decontaminate, quality, queries, secret_scan, simhash
@@ -28,22 +28,43 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.with_scores(docs, trees, name).where(F.col(name) >= ACCEPT).drop(name)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or with underscores before it if ``docs`` has such a column."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _text_key() -> Column:
+    """Names a row by what the stages decide on; rows may share an id, or have none."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id, once if its row is repeated.
 
-    A group without any id keeps one document.
+    A null id comes after all others. Rows with one id or none are documents of their own if their texts differ.
     """
-    found = simhash.near_duplicates(docs)
-    # Ids are joined null-safely, so that a group that has no id but null keeps its document too.
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("_kept")).select("_kept")
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    key = _free("_key", docs)
+    keyed = docs.withColumn(key, _text_key())
+    # The least key of a group is the group's name, whatever ids it has.
+    groups = simhash.near_duplicates(keyed, id_col=key).select(F.col("doc_id").alias("k"), F.col("component_id").alias("g"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("k"))
+    least = keyed.groupBy(F.col(key).alias("k")).agg(F.min(rank).alias("least"))
+    # Texts with equal hashes have one row here, as they have among the groups.
+    first = groups.groupBy("k").agg(F.min("g").alias("g")).join(least, "k").groupBy("g").agg(F.min("least").alias("least"))
+    kept = materialize(first.select(F.col("least.id").alias("_kept"), F.col("least.k").alias("_kept_key")), "kept")
+    same = keyed["doc_id"].eqNullSafe(kept["_kept"]) & (keyed[key] == kept["_kept_key"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", key]).drop(key)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark item, each told by its own text."""
+    key = _free("_key", docs)
+    keyed = docs.withColumn(key, _text_key())
+    found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=key)
     held = materialize(found.select(F.col("doc_id").alias("_held")).distinct(), "leaks")
-    return docs.join(held, docs["doc_id"].eqNullSafe(F.col("_held")), "left_anti")
+    return keyed.join(held, keyed[key] == held["_held"], "left_anti").drop(key)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,6 +98,18 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs):
     assert sorted(str(i) for i in kept) == sorted(["-9", "1", "5", "6", "7", "8", "None"])
 
 
+def test_rows_without_or_with_equal_ids_are_documents_of_their_own(spark):
+    item = queries.table(spark, SF, "benchmark").where("length(text) > 100").first().text
+    plain = [" ".join(f"{w}{k}" for k in range(60)) for w in ("red", "green", "blue", "grey", "pink")]
+    rows = [(None, plain[0]), (None, plain[1]), (None, plain[1]), (7, plain[2]), (7, plain[3]), (3, plain[4]), (None, plain[4]), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = materialize(corpus_pipeline.keep_one_of_each(spark, docs, SF), "test-own")
+    got = lambda table: sorted((str(r.doc_id), r.text) for r in table.collect())
+    own = [("None", plain[0]), ("None", plain[1]), ("7", plain[2]), ("7", plain[3]), ("3", plain[4])]
+    assert got(kept) == sorted([*own, ("None", item)])
+    assert got(corpus_pipeline.drop_leaks(spark, kept, SF)) == sorted(own)
+
+
 def test_every_query_is_registered():
     names = set(entry.queries())
     assert {*queries.QUERIES, "pipeline"} <= names
