@@ -45,13 +45,18 @@ DROPPED = frozenset(
 DROPPED_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
 )
-#: Words of a class or id that mark such parts.
+#: Words of which a whole class or id consists that hints at such parts.
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adslot banner breadcrumb breadcrumbs comment comments commentlist "
     "consent cookie cookies discussion disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice "
     "notices notification pager pagination popup promo promoted promotion recommended related replies reply respond share "
     "sharing sidebar signup social sponsor sponsored subscribe teaser toolbar topbar widget".split()
 )
+#: A part with such a hint goes if it has fewer characters, ...
+LITTLE = 200
+#: ... or so large a part of its text is in links or in parts inside it that have a hint of their own.
+LINKED_SHARE = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _RAW = re.compile(r"(?is)<(script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"""
@@ -83,19 +88,21 @@ _SIBLINGS = {
 class Node:
     """A block element: its label, whether its text is dropped, and its texts and child blocks in order."""
 
-    __slots__ = ("tag", "label", "dropped", "parts", "kids", "inside", "own")
+    __slots__ = ("tag", "label", "dropped", "parts", "kids", "inside", "own", "hint", "hinted", "links")
 
-    def __init__(self, tag: str, label: str, dropped: bool, inside: bool) -> None:
+    def __init__(self, tag: str, label: str, dropped: bool, inside: bool, hint: bool = False, hinted: bool = False) -> None:
         self.tag, self.label, self.dropped, self.inside = tag, label, dropped, inside
+        #: Has its class or id a word of DROPPED_WORDS, has that of an ancestor one, characters in links.
+        self.hint, self.hinted, self.links = hint, hint or hinted, 0
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.own = ""
 
 
-def _flags(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Label for matching, is it dropped, is it marked as the page's main part."""
+def _flags(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label for matching, is it dropped, is it marked as the page's main part, has it a word of DROPPED_WORDS."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, tag in DROPPED, tag == "main"
+        return tag, tag in DROPPED, tag == "main", False
     names, role, hidden, main = "", "", False, tag == "main"
     for key, value, bare in _ATTRIBUTE.findall(attributes):
         key, value = (bare or key).lower(), value.strip("\"'")
@@ -109,9 +116,10 @@ def _flags(tag: str, attributes: str) -> tuple[str, bool, bool]:
             hidden |= value.lower() == "true"
         elif key == "itemprop":
             main |= value.lower() == "articlebody"
-    marked = names and not DROPPED_WORDS.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", names).lower()))
-    dropped = tag in DROPPED or hidden or role in DROPPED_ROLES or bool(marked) and tag not in ("html", "body")
-    return f"{tag}.{names.strip()}" if names else tag, dropped, main or role == "main"
+    # The whole name counts: cookie-notice is one, has-sidebar and related-work are none.
+    hint = any((w := _WORDS.findall(_CAMEL.sub(" ", n).lower())) and DROPPED_WORDS.issuperset(w) for n in names.split())
+    dropped = tag in DROPPED or hidden or role in DROPPED_ROLES
+    return f"{tag}.{names.strip()}" if names else tag, dropped, main or role == "main", hint
 
 
 def parse(page: str) -> tuple[Node, Node | None]:
@@ -121,11 +129,15 @@ def parse(page: str) -> tuple[Node, Node | None]:
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements, inline ones with the block they are in
     mains: list[Node] = []
     articles: list[Node] = []
+    doubtful: list[Node] = []  # articles and main parts inside something with a hint
     at = 0
     hidden_inline = 0  # open inline elements whose text is dropped
     for m in _TOKEN.finditer(page):
         if m.start() > at and not hidden_inline:
-            stack[-1][1].parts.append(page[at : m.start()])
+            block = stack[-1][1]
+            block.parts.append(page[at : m.start()])
+            if block.hinted and any(t == "a" for t, _ in stack):
+                block.links += len(page[at : m.start()].strip())
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -168,33 +180,81 @@ def parse(page: str) -> tuple[Node, Node | None]:
                     if tag in ("li", "dt", "dd", "td", "th", "option"):
                         break
         parent = stack[-1][1]
-        label, dropped, main = _flags(tag, rest[:-1])
+        label, dropped, main, hint = _flags(tag, rest[:-1])
         if tag in VOID or len(stack) > MOST_DEPTH:
             continue
         if tag not in BLOCKS:
+            dropped |= hint and tag == "a"
             if not rest.endswith("/>"):
                 hidden_inline += dropped
                 stack.append((tag + "!" if dropped else tag, parent))
             continue
         # A header inside the article holds its title, elsewhere the site's.
         dropped = parent.dropped or dropped or (tag == "header" and not parent.inside)
-        node = Node(tag, label, dropped or bool(hidden_inline), parent.inside or tag == "article" or main)
+        inside = parent.inside or tag == "article" or main
+        # An article with a hint inside another one is a comment or the like.
+        hint &= tag not in HEADINGS and (parent.inside or not inside)
+        node = Node(tag, label, dropped or bool(hidden_inline), inside, hint, parent.hinted)
         parent.parts.append(node)
         parent.kids.append(node)
         stack.append((tag, node))
         if not node.dropped and not parent.inside:
-            if tag == "article":
+            if node.hinted:
+                if inside:
+                    doubtful.append(node)
+            elif tag == "article":
                 articles.append(node)
             elif main:
                 mains.append(node)
     if at < len(page) and not hidden_inline and "<" not in page[at : at + 1]:
         stack[-1][1].parts.append(page[at:])
-    body = articles or mains
+    body = articles or mains or doubtful
     inner = [a for m in mains for a in _find(m, "article")] if mains and not articles else []
     body = inner or body
+    if body is doubtful:  # teasers beside the text are not the article
+        body = body if 2 * max(map(_length, body), default=0) >= _length(root) else []
+    if any(n.hinted for n in _all(root)):
+        _drop_hinted(root, set(map(id, body)))
     if len(body) < 2:
         return root, body[0] if body else None
-    return root, max(body, key=lambda n: sum(map(len, blocks(n, set()))))
+    return root, max(body, key=_length)
+
+
+def _length(node: Node) -> int:
+    """Characters of the blocks of a part."""
+    return sum(map(len, blocks(node, set())))
+
+
+def _all(root: Node) -> list[Node]:
+    """All nodes, parents first."""
+    found = [root]
+    for node in found:
+        found.extend(node.kids)
+    return found
+
+
+def _drop_hinted(root: Node, body: set[int]) -> None:
+    """Drops parts with a hint that hold little, links, or further parts with one; never what holds the page's
+    articles (``body``, by identity) or most of its text."""
+    nodes = _all(root)
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}  # characters in links and in parts with a hint of their own
+    holds: set[int] = set()
+    for node in reversed(nodes):
+        if node.dropped:
+            size[id(node)] = linked[id(node)] = 0
+            continue
+        size[id(node)] = sum(len(p.strip()) if isinstance(p, str) else size[id(p)] for p in node.parts)
+        linked[id(node)] = node.links + sum(size[id(k)] if k.hint else linked[id(k)] for k in node.kids)
+        if id(node) in body or any(id(k) in holds for k in node.kids):
+            holds.add(id(node))
+    for node in nodes:
+        if not node.hint or node.dropped or id(node) in holds:
+            continue
+        n = size[id(node)]
+        if linked[id(node)] >= LINKED_SHARE * n or n < LITTLE and node.tag != "p" and 2 * n < size[id(root)]:
+            for inner in _all(node):
+                inner.dropped = True
 
 
 def _find(node: Node, tag: str) -> Iterator[Node]:

@@ -66,6 +66,21 @@ def test_marks_of_a_page():
     assert html_extract.main_text("<p>cut <b") .startswith("cut")
 
 
+def test_words_in_names_are_hints_only():
+    long = "one two three four five six seven eight nine ten " * 8
+    text = lambda html: html_extract.main_text(html).split("\n\n")
+    assert text(f"<div id='page' class='site has-sidebar'><p>{long}</p></div>") == [long.strip()]
+    assert text(f"<div class='sidebar'><article class='post comment-open'><p>{long}</p></article></div>") == [long.strip()]
+    assert text(f"<p>{long}</p><div class='related'><article><p><a href=x>teaser</a></p></article></div>") == [long.strip()]
+    assert text("<article class='comment'><p>short</p></article>") == ["short"]
+    assert text("<div class='widget'>all there is</div>") == ["all there is"]
+    body = f"<h2 id='related'>Related</h2><h2 id='related-work'>Work</h2><p class='teaser'>lead</p><section id='navigation'><p>{long}</p></section>"
+    assert text(f"<article>{body}<p>a <b class='notice'>b</b> c</p></article>") == ["Related", "Work", "lead", long.strip(), "a b c"]
+    links = f"<div class='related'><a href=x>{long}</a></div>"
+    comments = f"<section id='comments'><h2>Two</h2><article class='comment'><p>{long}</p></article></section>"
+    assert text(f"<article><p>{long}</p>{links}<div class='share'>tell</div>{comments}</article>") == [long.strip()]
+
+
 def page(k, extra=""):
     body = "".join(f"<p>own text {k} {j} of this page</p>" for j in range(3))
     return f"<body><div class=x><p>Welcome to our site</p></div><article><h1>Title {k}</h1>{body}<p>Read more on our site</p></article>{extra}"
