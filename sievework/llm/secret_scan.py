@@ -36,7 +36,12 @@ _LONG = re.compile("[A-Za-z0-9+/_.=-]{32,}")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{40,}={0,2}")
 _TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 _HEXKEY = re.compile("[0-9A-Fa-f]{64,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]*)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+#: Line breaks as JSON and source strings write them, and the joints of a string written in parts.
+_BREAK = re.compile(r"""\\+(?:[nrt]|\r?\n)""")
+_JOINT = re.compile(r"""["'`]\s*[+.,]?\s*["'`]""")
+#: Cipher and initial vector of an encrypted key of the old form.
+_DEK = re.compile(r"(?i)DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-F]{16}|[0-9A-F]{32})\s*")
 _PLACE = {k: i for i, k in enumerate(BASE_KINDS + CONFIRMED_KINDS)}
 
 Span = tuple[int, int, str]
@@ -121,6 +126,23 @@ def is_openssh_key(blob: bytes) -> bool:
     return 1 <= keys <= 64 and all(part() for _ in range(keys + 1)) and at == len(blob)
 
 
+def is_pem_key(body: str) -> bool:
+    """What stands between the marks of a PEM key: header lines of RFC 1421, if any, then the key in base64.
+
+    Line breaks may be escaped. An encrypted key has no structure, so its length must be whole cipher blocks.
+    """
+    body = _JOINT.sub("\n", _BREAK.sub("\n", body)).replace("\\/", "/").replace("\\u003d", "=")
+    lines = [line.strip().strip("\"'`+") if '"' in line or "'" in line or "`" in line else line for line in body.splitlines()]
+    # No base64 letter is a colon.
+    blob = unbase64("".join("".join(line.split()) for line in lines if ":" not in line))
+    if not blob:
+        return False
+    for line in lines:
+        if found := _DEK.fullmatch(line.strip()):
+            return len(blob) >= 16 and len(blob) % (len(found[1]) // 2) == 0
+    return is_private_key(blob) or is_openssh_key(blob)
+
+
 def is_signed_token(text: str) -> bool:
     """header.claims.signature with JSON objects for the first two and an algorithm in the header."""
     header, claims, signature = text.split(".")
@@ -161,8 +183,7 @@ def spans(text: str) -> list[Span]:
         found += _confirmed(text, run)
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
-            blob = unbase64("".join(m[2].split()))
-            if blob and (is_private_key(blob) or is_openssh_key(blob)):
+            if is_pem_key(m[2]):
                 found.append((*m.span(), "pem"))
     return sorted(found, key=lambda s: (s[0], _PLACE[s[2]], s[1]))
 

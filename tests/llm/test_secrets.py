@@ -97,6 +97,27 @@ def test_openssh_pem_and_token():
     assert "jwt" not in str(listed("bearer " + JWT.replace("eyJ", "eyK") + " and long.enough.words" * 3))
 
 
+def pem(body, name="RSA PRIVATE KEY"):
+    return f"-----BEGIN {name}-----\n{body}-----END {name}-----"
+
+
+def test_pem_keys_in_strings_and_with_headers():
+    plain = pem(base64.encodebytes(PKCS8).decode(), "PRIVATE KEY")
+    for broken in ("\\n", "\\r\\n", "\\\\n", "\\\n", '\\n" +\n  "', "\r\n"):
+        text = plain.replace("\n", broken)
+        assert f"pem:17:{17 + len(text)}" in listed('{"private_key": "' + text + '\\n"}'), broken
+    assert "PRIVATE" not in secret_scan.redact('{"private_key": ' + json.dumps(plain).replace("/", "\\/") + "}")
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    whole = pem(headers + base64.encodebytes(bytes(range(160))).decode())
+    for text in (whole, whole.replace("\n", "\\n")):
+        assert f"pem:2:{2 + len(text)}" in listed("a " + text + " b")
+    old = whole.replace("AES-128-CBC,0123456789ABCDEF", "DES-EDE3-CBC,")
+    assert "pem" in str(listed(old))
+    for wrong in (pem(headers + base64.encodebytes(bytes(range(155))).decode()), whole.replace("DEK-Info", "Other"), whole.replace("ABCDEF\n", "ABCDE\n"), pem(headers)):
+        assert "pem" not in str(listed(wrong))
+    assert listed("-----BEGIN PRIVATE KEY-----" * 20_000) == []
+
+
 def test_lookalikes_stay():
     noise = base64.b64encode(hashlib.sha512(b"x").digest()).decode()
     assert listed(f"hash {noise} of a file") == []
