@@ -9,6 +9,7 @@ blocks that vary are content. The counts cover every page of the host. Parts tha
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -57,7 +58,11 @@ LITTLE = 200
 #: ... or so large a part of its text is in links or in parts inside it that have a hint of their own.
 LINKED_SHARE = 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_RAW = re.compile(r"(?is)<(script|style|textarea|title|noscript|iframe|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)")
+#: A self-closed svg has no end tag.
+_RAW = re.compile(
+    r"""(?is)<svg(?=[\s/])(?:[^>"']|"[^"]*"|'[^']*')*+(?<=/)>|"""
+    r"<(script|style|textarea|title|noscript|iframe|template|svg)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+)
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|"""
     r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""",
@@ -131,6 +136,8 @@ def parse(page: str) -> tuple[Node, Node | None]:
     articles: list[Node] = []
     doubtful: list[Node] = []  # articles and main parts inside something with a hint
     at = 0
+    skipped: list[str] = []  # open elements that are too deep for the stack, and how many of each name
+    depths: Counter[str] = Counter()
     hidden_inline = 0  # open inline elements whose text is dropped
     for m in _TOKEN.finditer(page):
         if m.start() > at and not hidden_inline:
@@ -144,8 +151,18 @@ def parse(page: str) -> tuple[Node, Node | None]:
             continue
         tag = tag.lower()
         if m[1]:
+            if depths[tag]:
+                while True:
+                    depths[last := skipped.pop()] -= 1
+                    if last == tag:
+                        break
+                if tag in BLOCKS:
+                    stack[-1][1].parts.append(" ")
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0].rstrip("!") == tag:
+                    skipped.clear()
+                    depths.clear()
                     hidden_inline -= sum(t.endswith("!") for t, _ in stack[k:])
                     del stack[k:]
                     break
@@ -161,6 +178,13 @@ def parse(page: str) -> tuple[Node, Node | None]:
             del stack[1:]
         if tag in ("html", "body"):
             continue
+        if skipped:
+            if tag not in VOID and (tag in BLOCKS or not rest.endswith("/>")):
+                skipped.append(tag)
+                depths[tag] += 1
+            if tag in BLOCKS:
+                stack[-1][1].parts.append(" ")
+            continue
         if tag in _P_CLOSERS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -181,7 +205,14 @@ def parse(page: str) -> tuple[Node, Node | None]:
                         break
         parent = stack[-1][1]
         label, dropped, main, hint = _flags(tag, rest[:-1])
-        if tag in VOID or len(stack) > MOST_DEPTH:
+        if tag in VOID:
+            continue
+        if len(stack) > MOST_DEPTH:
+            if tag in BLOCKS or not rest.endswith("/>"):
+                skipped.append(tag)
+                depths[tag] += 1
+            if tag in BLOCKS:
+                stack[-1][1].parts.append(" ")
             continue
         if tag not in BLOCKS:
             dropped |= hint and tag == "a"

@@ -66,6 +66,20 @@ def test_marks_of_a_page():
     assert html_extract.main_text("<p>cut <b") .startswith("cut")
 
 
+def test_raw_elements_end_where_they_should():
+    assert html_extract.main_text("<p>a <svg class='i' viewBox=\"0 0 > 1\"/> b <svg><title>t</title><path/></svg> c</p>") == "a b c"
+    assert html_extract.main_text("<title-bar>x</title-bar><p>a</p><style-guide>b</style-guide><p>c</p>").split("\n\n") == ["x", "a", "b", "c"]
+    assert html_extract.main_text("<svg>no</svg><title>no</title ><p>a") == "a"
+
+
+def test_deep_runs_close_no_ancestor():
+    deep = "<div>" * 210 + "deep" + "</div>" * 210
+    page = f"<div class=x><article><div><p>one</p>{deep}<p>two</p></div><p>three</p></article></div><p>outside</p>"
+    assert html_extract.main_text(page).split("\n\n") == ["one", "deep", "two", "three"]
+    unclosed = "<div>" * 195 + "<ul>" + "<li><ul><li><i>x" * 20
+    assert html_extract.main_text(f"<article>{unclosed}</article><p>outside").split() == ["x"] * 20
+
+
 def test_words_in_names_are_hints_only():
     long = "one two three four five six seven eight nine ten " * 8
     text = lambda html: html_extract.main_text(html).split("\n\n")
