@@ -16,7 +16,7 @@ from sievework.catalog.base import (
     query,
     r6,
 )
-from sievework.models import gnb, knn, mllib
+from sievework.models import gnb, knn, mllib, trees
 from sievework.models.registry import Problem, default_registry, gaussian_spec, nearest_spec, tree_spec
 from sievework.operators import neighbors, sampling, scale, smote
 from sievework.plans import comparison, search
@@ -500,6 +500,133 @@ def grid_search_dt(spark, sf):
     return _rounded_cv(search.search_tree(prepared, FEATURES, "label"))
 
 
+# --- trees in SQL ---------------------------------------------------------------------------
+
+
+def _each(form: str, by: str = ", ") -> str:
+    return by.join(form.format(c=c) for c in range(4))
+
+
+def _grown_trees(rows: str, shapes: list[trees.Shape], depth: int) -> str:
+    """CTEs nodes{d} (tree, node, t0.., f, b) and at{d} (the rows on them) of trees over ``rows`` (part, id, label,
+    x1, x2, x3, n, v), level by level down to ``depth``."""
+    probs = ", ".join(f"{i}::DOUBLE / {trees.BINS}" for i in range(1, trees.BINS))
+    cuts = ", ".join(f"list_sort(list_distinct(quantile_disc({x}, [{probs}]))) AS q{i}" for i, x in enumerate(FEATURES))
+    bins = ", ".join(f"len(list_filter(c.q{i}, lambda q: q < r.{x}))" for i, x in enumerate(FEATURES))
+    listed = ", ".join(f"({i}, '{s.criterion}', {s.min_leaf}, {s.n_try or 99})" for i, s in enumerate(shapes))
+
+    def side(x: str, n: str) -> str:
+        logs = _each("CASE WHEN X{c} > 0 THEN X{c} * ln(X{c}::DOUBLE) ELSE 0::DOUBLE END", " + ").replace("X", x)
+        squares = _each("(X{c} * X{c})::DOUBLE", " + ").replace("X", x)
+        return f"CASE WHEN criterion = 'gini' THEN ({squares}) / {n} ELSE {logs} - {n} * ln({n}::DOUBLE) END"
+
+    out = [
+        f"tcuts AS (SELECT part, {cuts} FROM {rows} WHERE n = 1 GROUP BY part)",
+        f"shapes(shape, criterion, min_leaf, n_try) AS (VALUES {listed})",
+        f"""at0 AS (SELECT r.part * {len(shapes)} + shape AS tree, 0::BIGINT AS node, id, label, n, v, [{bins}] AS bins
+ FROM {rows} r JOIN tcuts c USING (part), shapes)""",
+    ]
+    for d in range(depth + 1):
+        split = "false" if d == depth else f"greatest({_each('t{c}')}) < {_each('t{c}', ' + ')}"
+        out.append(f"""hist{d} AS (SELECT tree, node, f, bins[f + 1] AS b, {_each("sum(CASE WHEN label = {c} THEN n ELSE 0 END)::BIGINT AS h{c}")}
+ FROM at{d}, range(3) AS fs(f) GROUP BY ALL),
+sides{d} AS (SELECT *, {_each("sum(h{c}) OVER upto AS l{c}")}, {_each("sum(h{c}) OVER whole AS t{c}")}, {_each("t{c} - l{c} AS r{c}")} FROM hist{d}
+ WINDOW whole AS (PARTITION BY tree, node, f), upto AS (PARTITION BY tree, node, f ORDER BY b ROWS UNBOUNDED PRECEDING)),
+scored{d} AS (SELECT d.*, n_try, CASE WHEN nl >= min_leaf AND nr >= min_leaf THEN CASE WHEN criterion = 'gini' THEN gain ELSE round_even(gain, 7) END END AS score
+ FROM (SELECT s.*, p.*, {_each("l{c}", " + ")} AS nl, {_each("r{c}", " + ")} AS nr, {side("l", "nl")} + {side("r", "nr")} AS gain
+ FROM sides{d} s JOIN shapes p ON p.shape = s.tree % {len(shapes)}) d),
+best{d} AS (SELECT tree, node, f, b, score, n_try, {_each("t{c}")} FROM scored{d}
+ QUALIFY row_number() OVER (PARTITION BY tree, node, f ORDER BY score DESC NULLS LAST, b) = 1),
+drawn{d} AS (SELECT *, row_number() OVER (PARTITION BY tree, node ORDER BY score IS NULL, {duck_hash("feature", "tree", "node", "f")}, f) AS place FROM best{d}),
+nodes{d} AS (SELECT tree, node, {d} AS depth, {_each("t{c}")}, CASE WHEN {split} AND score IS NOT NULL THEN f END AS f,
+ CASE WHEN {split} AND score IS NOT NULL THEN b END AS b
+ FROM drawn{d} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY score IS NULL OR place > n_try, score DESC, f) = 1),
+at{d + 1} AS (SELECT a.tree, a.node * 2 + 1 + CASE WHEN a.bins[k.f + 1] > k.b THEN 1 ELSE 0 END AS node, id, label, n, v, bins
+ FROM at{d} a JOIN nodes{d} k ON a.tree = k.tree AND a.node = k.node WHERE k.f IS NOT NULL)""")
+    return ",\n".join(out)
+
+
+_TREE_ROWS = "trows AS (SELECT 0 AS part, id, label, x1, x2, x3, 1 AS n, 0 AS v FROM train)"
+_TREE_LEVELS = " UNION ALL ".join(f"SELECT * FROM nodes{d}" for d in range(4))
+
+
+@query(
+    "tree_nodes",
+    duck("imb", then=",\n".join([_TRAIN, _TREE_ROWS, _grown_trees("trows", [trees.Shape(), trees.Shape("entropy", 5)], 3)]))
+    + f"""SELECT tree, node, depth, {_each("t{c}::BIGINT AS t{c}")}, f::INTEGER AS feature,
+[q0, q1, q2][f + 1][b + 1] AS cut FROM ({_TREE_LEVELS}), tcuts""",
+)
+def tree_nodes(spark, sf):
+    """Every node of two trees of depth 3 with its classes and split."""
+    train, _ = _train_test(spark, sf)
+    grown = trees.grow(train, FEATURES, "label", 4, [trees.Shape(), trees.Shape("entropy", 5)], max_depth=3)
+    at = F.get(F.get(F.array(*[F.array(*map(F.lit, c)) for c in grown.cuts[0]]), F.col("f")), F.col("b"))
+    counts = [F.col("t")[c].alias(f"t{c}") for c in range(4)]
+    return grown.nodes.select("tree", "node", "depth", *counts, F.col("f").alias("feature"), at.alias("cut"))
+
+
+_SMALL_GRID = {
+    "criterion": ["gini", "entropy"],
+    "max_depth": [1, 2, 3],
+    "max_features": [None, "sqrt"],
+    "min_samples_leaf": [1, 5],
+    "min_samples_split": [2, 40],
+}
+_SMALL = search.candidates(_SMALL_GRID)
+_SMALL_SHAPES = list(
+    dict.fromkeys(
+        trees.Shape(c["criterion"], c["min_samples_leaf"], search.max_features(c["max_features"], 3)) for c in _SMALL
+    )
+)
+_SMALL_ROWS = ", ".join(
+    f"({i}, {_SMALL_SHAPES.index(trees.Shape(c['criterion'], c['min_samples_leaf'], search.max_features(c['max_features'], 3)))},"
+    f" {c['max_depth']}, {c['min_samples_split']})"
+    for i, c in enumerate(_SMALL)
+)
+_SMALL_SEARCH = ",\n".join(
+    [
+        _TRAIN,
+        _folds("train"),
+        _TRAINING,
+        _smote("ftrain", "left_out"),
+        """trows AS (SELECT left_out AS part, NULL::BIGINT AS id, label, x1, x2, x3, 1 AS n, 0 AS v FROM resampled
+ UNION ALL SELECT fold, id, label, x1, x2, x3, 0, 1 FROM folded)""",
+        _grown_trees("trows", _SMALL_SHAPES, 3),
+        f"cand(candidate_id, shape, max_depth, min_split) AS (VALUES {_SMALL_ROWS})",
+        # Where each left-out row stands at each level, and the first of these places at which a candidate stops.
+        "passed AS ("
+        + " UNION ALL ".join(
+            f"SELECT a.tree, a.id, a.label, k.depth, {_each('k.t{c}', ' + ')} AS size, k.f,"
+            f" list_position([{_each('k.t{c}')}], greatest({_each('k.t{c}')})) - 1 AS guess"
+            f" FROM at{d} a JOIN nodes{d} k ON a.tree = k.tree AND a.node = k.node WHERE a.v = 1"
+            for d in range(4)
+        )
+        + ")",
+        f"""cvpred AS (SELECT candidate_id, tree // {len(_SMALL_SHAPES)} AS fold, label AS y, arg_min(guess, depth)::BIGINT AS p
+ FROM passed p JOIN cand c ON c.shape = p.tree % {len(_SMALL_SHAPES)}
+ WHERE depth = max_depth OR size < min_split OR f IS NULL GROUP BY candidate_id, tree, id, label)""",
+        duck_report("cvpred", "y", "p", "candidate_id, fold").strip(),
+        "scores AS (SELECT candidate_id, fold, round_even(f1, 12) AS score FROM metrics)",
+        duck_cv("scores").strip(),
+    ]
+)
+
+
+@query(
+    "grid_search_dt_small",
+    duck("imb", then=_SMALL_SEARCH)
+    + "SELECT candidate_id, "
+    + ", ".join(f"round_even(split{f}, 6) AS split{f}" for f in range(5))
+    + ", round_even(mean, 6) AS mean, round_even(std, 6) AS std, rank FROM cv",
+)
+def grid_search_dt_small(spark, sf):
+    """A tree search with resampling in each fold: 48 candidates down to depth 3."""
+    train, _ = _train_test(spark, sf)
+    prepared = search.prepare_folds(train, FEATURES, "label", "id")
+    found = search.search_tree(prepared, FEATURES, "label", _SMALL_GRID)
+    return _rounded_cv(found.select(*[c for c in found.columns if not c.endswith("_seconds")]))
+
+
 @query("final_model")
 def final_model(spark, sf):
     """Plain naive Bayes against the tuned tree on resampled rows, with remarks."""

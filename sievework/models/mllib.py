@@ -24,7 +24,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions import scalars as S
 from sievework.functions.portable import SEED
 from sievework.operators import profile
 
@@ -100,108 +99,6 @@ def fit_decision_tree(
     return _fit(tree, train, features, label, n_classes, "probability")
 
 
-# --- reading a fitted tree ----------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class TreeNode:
-    prediction: float
-    rows: int
-    shares: tuple[float, ...]
-    left: "TreeNode | None" = None
-    right: "TreeNode | None" = None
-
-
-def read_tree(node) -> TreeNode:
-    """Copy of a fitted tree; like the fitted tree itself it lives on the driver."""
-    stats = node.impurityStats()
-    total = float(stats.count())
-    shares = tuple(x / total for x in stats.stats())
-    if node.getClass().getSimpleName() != "InternalNode":
-        return TreeNode(node.prediction(), int(total), shares)
-    left, right = read_tree(node.leftChild()), read_tree(node.rightChild())
-    return TreeNode(node.prediction(), int(total), shares, left, right)
-
-
-def stopped_nodes(root: TreeNode, max_depth: int | None, min_split: int) -> list[TreeNode]:
-    """Per leaf of the full tree, the node that would be the leaf under the given limits.
-
-    Greedy growth makes a smaller tree a cut-off larger one, so one fit serves all limits. Leaves
-    come from left to right, which is how MLlib numbers them.
-    """
-    out: list[TreeNode] = []
-
-    def walk(node: TreeNode, depth: int, stopped: TreeNode | None) -> None:
-        stop = (max_depth is not None and depth >= max_depth) or node.rows < min_split
-        if stopped is None and (stop or node.left is None):
-            stopped = node
-        if node.left is None:
-            out.append(stopped)
-            return
-        walk(node.left, depth + 1, stopped)
-        walk(node.right, depth + 1, stopped)
-
-    walk(root, 0, None)
-    return out
-
-
-def stopped_predictions(root: TreeNode, max_depth: int | None, min_split: int) -> list[float]:
-    return [node.prediction for node in stopped_nodes(root, max_depth, min_split)]
-
-
-@dataclass(frozen=True)
-class CutTree:
-    """A full tree and the scores per leaf that its cut-off version gives."""
-
-    model: Model
-    n_classes: int
-    leaf_shares: tuple[tuple[float, ...], ...]
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df).withColumn("_leaf_no", vector_to_array("_leaf")[0].cast("int"))
-        # As many rows as the tree has leaves; Spark broadcasts them when their size allows.
-        rows = [(i, list(shares)) for i, shares in enumerate(self.leaf_shares)]
-        table = df.sparkSession.createDataFrame(rows, "_leaf_no int, _shares array<double>")
-        scored = out.join(table, "_leaf_no")
-        columns = [F.col("_shares")[i] for i in range(self.n_classes)]
-        best = S.argmax_first(columns, [float(i) for i in range(self.n_classes)])
-        return scored.select(
-            *df.columns,
-            best.alias("prediction"),
-            *[c.alias(f"score_{i}") for i, c in enumerate(columns)],
-        )
-
-
-def fit_cut_tree(
-    train: DataFrame,
-    features: Sequence[str],
-    label: str,
-    n_classes: int,
-    criterion: str = "gini",
-    max_depth: int | None = None,
-    min_samples_leaf: int = 1,
-    max_features: int | None = None,
-    min_samples_split: int = 2,
-) -> CutTree:
-    """One tree with all limits, also the split minimum, which MLlib itself does not have."""
-    forest = RandomForestClassifier(
-        leafCol="_leaf",
-        numTrees=1,
-        bootstrap=False,
-        featureSubsetStrategy="all" if max_features is None else str(max_features),
-        impurity=criterion,
-        minInstancesPerNode=min_samples_leaf,
-        maxDepth=MAX_DEPTH,
-        maxBins=MAX_BINS,
-        seed=SEED,
-        cacheNodeIds=DEEP,
-    )
-    fitted = _fit(forest, train, features, label, n_classes, "probability").model
-    root = read_tree(fitted.stages[-1].trees[0]._java_obj.rootNode())
-    stops = stopped_nodes(root, max_depth, min_samples_split)
-    return CutTree(fitted, n_classes, tuple(node.shares for node in stops))
-
-
 def fit_random_forest(
     train: DataFrame, features: Sequence[str], label: str, n_classes: int, trees: int = 100
 ) -> FittedModel:

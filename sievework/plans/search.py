@@ -8,22 +8,18 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 from math import floor, log2, sqrt
 from typing import Any
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from sievework.functions import scalars as S
 from sievework.functions.portable import SEED
-from sievework.models import gnb, mllib
+from sievework.models import gnb, trees
 from sievework.operators import evaluate, ranking, sampling, smote
 from sievework.session import materialize
 
@@ -184,94 +180,48 @@ def search_tree(
     features: Sequence[str],
     label: str,
     grid: Mapping[str, Sequence[Any]] = DT_GRID,
-    parallelism: int = 8,
+    n_classes: int | None = None,
 ) -> DataFrame:
-    """CV table of a decision-tree grid.
+    """CV table of a decision-tree grid, with the share of the common fit and scoring time each candidate has.
 
-    Fits one full tree per fold and distinct (criterion, leaf size, feature number); depth and
-    split limits are read off those trees. Left-out rows are counted per (label, leaf) before the
-    candidates multiply them.
+    One full tree per fold and distinct (criterion, leaf size, feature number), all grown together level by level.
+    Left-out rows walk along and are counted at every node, so candidates that differ in depth and split limits
+    only are read off the node table. Labels are 0..n_classes-1 (by default up to the largest there is).
     """
     all_candidates = candidates(grid)
-    shapes: dict[tuple, list[int]] = {}
+    shapes: dict[trees.Shape, int] = {}
+    limits = []
     for i, c in enumerate(all_candidates):
-        shape = (
-            c.get("criterion", "gini"),
-            c.get("min_samples_leaf", 1),
-            max_features(c.get("max_features"), len(features)),
-        )
-        shapes.setdefault(shape, []).append(i)
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
-    target = F.col(label).cast("double").alias("_label")
-    training = materialize(
-        assemble.transform(prepared.training).select("_features", target, "left_out"),
-        "tree-training",
-        ["left_out"],
-    )
-    validation = materialize(
-        assemble.transform(prepared.validation).select("_features", target, "fold"),
-        "tree-validation",
-        ["fold"],
-    )
-    spark = training.sparkSession
-
-    def run(shape: tuple, fold: int) -> tuple[list[tuple], list[tuple]]:
-        criterion, leaf, n_try = shape
-        start = time.perf_counter()
-        forest = RandomForestClassifier(
-            featuresCol="_features",
-            labelCol="_label",
-            leafCol="_leaf",
-            numTrees=1,
-            bootstrap=False,
-            featureSubsetStrategy="all" if n_try is None else str(n_try),
-            impurity=criterion,
-            minInstancesPerNode=leaf,
-            maxDepth=mllib.MAX_DEPTH,
-            maxBins=mllib.MAX_BINS,
-            seed=SEED,
-            cacheNodeIds=mllib.DEEP,
-        )
-        model = forest.fit(training.where(F.col("left_out") == fold))
-        root = mllib.read_tree(model.trees[0]._java_obj.rootNode())
-        fitted = time.perf_counter()
-        per_leaf = (
-            model.transform(validation.where(F.col("fold") == fold))
-            .groupBy("_label", vector_to_array("_leaf")[0].cast("int").alias("leaf"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .collect()
-        )
-        rows = []
-        for i in shapes[shape]:
-            c = all_candidates[i]
-            guess = mllib.stopped_predictions(root, c.get("max_depth"), c.get("min_samples_split", 2))
-            tally: dict[tuple[float, float], int] = {}
-            for r in per_leaf:
-                cell = (r["_label"], guess[r["leaf"]])
-                tally[cell] = tally.get(cell, 0) + r["n"]
-            rows += [(i, fold, a, p, n) for (a, p), n in tally.items()]
-        scored = time.perf_counter()
-        times = [(i, fitted - start, scored - fitted) for i in shapes[shape]]
-        return rows, times
-
-    jobs = [(shape, f) for shape in shapes for f in range(prepared.n)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        done = list(pool.map(lambda job: run(*job), jobs))
-    found = [row for rows, _ in done for row in rows]
-    schema = "candidate_id int, fold int, actual double, predicted double, n long"
-    cv = cv_results(score_table(spark.createDataFrame(found, schema)), prepared.n)
-    spent = [row for _, times in done for row in times]
-    return cv.join(_timing(spark.createDataFrame(spent, "candidate_id int, fit double, score double")), "candidate_id")
-
-
-def _timing(spent: DataFrame) -> DataFrame:
-    """Mean and population std over folds of the seconds a candidate's fit and scoring took."""
-    return spent.groupBy("candidate_id").agg(
-        F.avg("fit").alias("mean_fit_seconds"),
-        F.stddev_pop("fit").alias("std_fit_seconds"),
-        F.avg("score").alias("mean_score_seconds"),
-        F.stddev_pop("score").alias("std_score_seconds"),
+        tries = max_features(c.get("max_features"), len(features))
+        shape = trees.Shape(c.get("criterion", "gini"), c.get("min_samples_leaf", 1), tries)
+        number = shapes.setdefault(shape, len(shapes))
+        limits.append((i, number, c.get("max_depth"), c.get("min_samples_split", 2)))
+    if n_classes is None:
+        n_classes = int(prepared.validation.agg(F.max(label)).first()[0]) + 1
+    deepest = max(trees.MAX_DEPTH if c.get("max_depth") is None else c["max_depth"] for c in all_candidates)
+    begin = time.perf_counter()
+    grown = trees.grow(
+        prepared.training,
+        features,
+        label,
+        n_classes,
+        list(shapes),
+        "left_out",
+        prepared.validation,
+        "fold",
+        min(deepest, trees.MAX_DEPTH),
     )
+    fitted = time.perf_counter()
+    spark = prepared.training.sparkSession
+    table = spark.createDataFrame(limits, "candidate_id int, shape int, max_depth int, min_split int")
+    counts = materialize(trees.candidate_counts(grown, table), "tree-counts")
+    cv = materialize(cv_results(score_table(counts), prepared.n), "cv")
+    scored = time.perf_counter()
+    # All fits share their jobs; every candidate is charged an equal part.
+    parts = len(all_candidates) * prepared.n
+    spent = {"mean_fit_seconds": (fitted - begin) / parts, "mean_score_seconds": (scored - fitted) / parts}
+    none = {"std_fit_seconds": F.lit(0.0), "std_score_seconds": F.lit(0.0)}
+    return cv.withColumns({k: F.lit(v) for k, v in spent.items()} | none)
 
 
 def refit_tree(
@@ -282,10 +232,10 @@ def refit_tree(
     n_classes: int,
     params: Mapping[str, Any],
     smote_k: int = 3,
-) -> mllib.CutTree:
+) -> trees.TreeModel:
     """The chosen tree, fitted on all training rows after resampling them."""
     balanced = smote.materialized_smote(train, features, label, key, k=smote_k)
-    return mllib.fit_cut_tree(
+    return trees.fit_tree(
         balanced,
         features,
         label,
