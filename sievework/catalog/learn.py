@@ -16,7 +16,7 @@ from sievework.catalog.base import (
     query,
     r6,
 )
-from sievework.models import gnb, knn, mllib, trees
+from sievework.models import boosting, gnb, knn, mllib, trees
 from sievework.models.registry import Problem, default_registry, gaussian_spec, nearest_spec, tree_spec
 from sievework.operators import neighbors, sampling, scale, smote
 from sievework.plans import comparison, search
@@ -397,13 +397,47 @@ def svm_rff(spark, sf):
 @query("gbt_ovr")
 def gbt_ovr(spark, sf):
     train, test = _train_test(spark, sf)
-    return _predicted(mllib.fit_gbt_ovr(train, FEATURES, "label", 4), test)
+    """Boosted trees of all classes at once; the key's name is kept from one-vs-rest times."""
+    return _predicted(boosting.fit_boosted(train, FEATURES, "label", 4), test)
 
 
 @query("gbt_preset")
 def gbt_preset(spark, sf):
     train, test = _train_test(spark, sf)
-    return _predicted(mllib.fit_boosted_trees_preset(train, FEATURES, "label", 4), test)
+    return _predicted(boosting.fit_boosted(train, FEATURES, "label", 4, boosting.PRESET), test)
+
+
+_FACTS = ("Decision Tree", "Random Forest", "Logistic Regression", "Gradient Boosting", "Boosted Trees Preset")
+_FACT_ROWS = ", ".join(f"('{name}')" for name in _FACTS)
+
+
+@query(
+    "model_facts",
+    duck("imb", then=_TRAIN)
+    + f"""SELECT model, (SELECT count(*) FROM test) AS n_test, (SELECT count(*) FROM test) AS n_scored, true AS beats_majority
+FROM (VALUES {_FACT_ROWS}) AS m(model)""",
+)
+def model_facts(spark, sf):
+    """What must hold of every fitted model: a prediction and scores that add up to 1 for each test row, and at least
+    the largest class's share of the training rows right."""
+    found = []
+    train, test = _train_test(spark, sf)
+    largest = train.groupBy("label").count().agg(F.max("count")).first()[0]
+    fit = scale.fit_scaler(train, FEATURES)
+    specs = {s.name: s for s in default_registry()}
+    for name in _FACTS:
+        scaled = specs[name].use_scaling
+        a, b = (scale.apply_scaler(train, fit), scale.apply_scaler(test, fit)) if scaled else (train, test)
+        model = specs[name].fit(a, PROBLEM)
+        total = sum((F.col(f"score_{c}") for c in range(1, 4)), F.col("score_0"))
+        known = F.col("prediction").isin([float(c) for c in range(4)])
+        own = model.predict(b).agg(F.count_if(known).alias("n_test"), F.count_if(F.abs(total - 1) < 1e-6).alias("n_scored"))
+        hits = model.predict(a).agg(F.count_if(F.col("prediction") == F.col("label")).alias("hits"))
+        found.append(own.join(hits).select(F.lit(name).alias("model"), "n_test", "n_scored", (F.col("hits") >= largest).alias("beats_majority")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out
 
 
 @query("evaluate_model")

@@ -13,7 +13,6 @@ import numpy as np
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     OneVsRest,
@@ -128,31 +127,6 @@ def fit_logistic_ovr(
     return _fit(ovr, train, features, label, n_classes, "sigmoid")
 
 
-def fit_gbt_ovr(
-    train: DataFrame,
-    features: Sequence[str],
-    label: str,
-    n_classes: int,
-    rounds: int = 100,
-    max_depth: int = 3,
-    step: float = 0.1,
-    **extra,
-) -> FittedModel:
-    """Boosted trees, one-vs-rest because MLlib's are binary."""
-    inner = GBTClassifier(
-        maxIter=rounds, maxDepth=max_depth, stepSize=step, maxBins=MAX_BINS, seed=SEED, **extra
-    )
-    ovr = OneVsRest(classifier=inner, rawPredictionCol="rawPrediction", parallelism=PARALLEL_FITS)
-    return _fit(ovr, train, features, label, n_classes, "sigmoid")
-
-
-def fit_boosted_trees_preset(
-    train: DataFrame, features: Sequence[str], label: str, n_classes: int, rounds: int = 100
-) -> FittedModel:
-    """Deeper, faster-learning boosted trees: depth 6, step 0.3."""
-    return fit_gbt_ovr(train, features, label, n_classes, rounds, max_depth=6, step=0.3)
-
-
 # --- radial-kernel SVM through random Fourier features -------------------------------------
 
 FOURIER_FEATURES = 64

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.models import gnb, knn, mllib
+from sievework.models import boosting, gnb, knn, mllib
 
 
 class Predictor(Protocol):
@@ -81,7 +81,7 @@ def nearest_spec(k: int = 5) -> ModelSpec:
     return ModelSpec("KNN", fit, use_scaling=True)
 
 
-def _mllib_spec(name: str, fit_model: Callable[..., Predictor], use_scaling: bool = False, **options: Any):
+def _plain_spec(name: str, fit_model: Callable[..., Predictor], use_scaling: bool = False, **options: Any):
     def fit(train: DataFrame, p: Problem) -> Predictor:
         return fit_model(train, p.features, p.label, p.n_classes, **options)
 
@@ -89,17 +89,21 @@ def _mllib_spec(name: str, fit_model: Callable[..., Predictor], use_scaling: boo
 
 
 def tree_spec(name: str = "Decision Tree", **options: Any) -> ModelSpec:
-    return _mllib_spec(name, mllib.fit_decision_tree, **options)
+    return _plain_spec(name, mllib.fit_decision_tree, **options)
+
+
+def boosted_spec(name: str, how: boosting.Settings) -> ModelSpec:
+    return _plain_spec(name, boosting.fit_boosted, how=how)
 
 
 def default_registry(trees: int = 100, rounds: int = 100) -> Sequence[ModelSpec]:
     return [
-        _mllib_spec("Logistic Regression", mllib.fit_logistic_ovr, use_scaling=True),
+        _plain_spec("Logistic Regression", mllib.fit_logistic_ovr, use_scaling=True),
         gaussian_spec(),
         tree_spec(),
-        _mllib_spec("Random Forest", mllib.fit_random_forest, trees=trees),
-        _mllib_spec("SVM (Fourier features)", mllib.fit_svm_rff, use_scaling=True),
+        _plain_spec("Random Forest", mllib.fit_random_forest, trees=trees),
+        _plain_spec("SVM (Fourier features)", mllib.fit_svm_rff, use_scaling=True),
         nearest_spec(),
-        _mllib_spec("Gradient Boosting", mllib.fit_gbt_ovr, rounds=rounds),
-        _mllib_spec("Boosted Trees Preset", mllib.fit_boosted_trees_preset, rounds=rounds),
+        boosted_spec("Gradient Boosting", boosting.Settings(rounds=rounds)),
+        boosted_spec("Boosted Trees Preset", replace(boosting.PRESET, rounds=rounds)),
     ]
