@@ -22,7 +22,7 @@ from sievework.catalog.base import (
 from sievework.functions import scalars as S
 from sievework.operators import dedup, impute as imp, outliers, profile, scale
 from sievework.plans import cleaning
-from sievework.session import scratch_path
+from sievework.session import materialize, scratch_path
 from sievework.sources import scan, sink
 
 # --- sources and sinks ----------------------------------------------------------------------
@@ -382,8 +382,9 @@ LATERAL (VALUES ('rows', b.n, a.n), ('columns', 4::BIGINT, 6::BIGINT - 1), ('mis
 )
 def before_after(spark, sf):
     before = obs(spark, sf).drop("row_key")
-    unique = dedup.drop_duplicates(before)
-    removed = dedup.duplicate_count(before).first()["n_duplicates"]
+    # Fitted on, filled and counted from one written table.
+    unique = materialize(dedup.drop_duplicates(before), "unique")
+    removed = before.count() - unique.count()
     return profile.before_after(before, imp.impute(unique), removed)
 
 

@@ -18,7 +18,7 @@ from sievework.catalog.base import (
 )
 from sievework.models import boosting, gnb, knn, mllib, trees
 from sievework.models.registry import Problem, default_registry, gaussian_spec, nearest_spec, tree_spec
-from sievework.operators import neighbors, sampling, scale, smote
+from sievework.operators import auc, neighbors, sampling, scale, smote
 from sievework.plans import comparison, search
 from sievework.session import materialize
 
@@ -348,6 +348,34 @@ def evaluate_nb_smote(spark, sf):
     return found.select("model", "smote", *_SHOWN)
 
 
+_RUN_SCORES = f"""nbs AS (SELECT 'Naive Bayes' AS model, s.*, t.label FROM scores s JOIN test t USING (id)),
+knns AS (SELECT 'KNN' AS model, id, {", ".join(f"coalesce(sum(CASE WHEN vote = {c} THEN n END), 0)::DOUBLE / sum(n) AS score_{c}" for c in range(4))}, any_value(label) AS label
+ FROM votes GROUP BY id),
+runs AS (SELECT * FROM nbs UNION ALL BY NAME SELECT * FROM knns),
+sc AS (SELECT model, label, c, [score_0, score_1, score_2, score_3][c + 1] AS s FROM runs, range(4) AS k(c))"""
+
+
+@query(
+    "roc_auc_runs",
+    duck("imb", then=",\n".join([_TRAIN, _gnb_fit(), _NB_SCORES, _KNN, _RUN_SCORES]))
+    + """SELECT model, round_even(avg(a), 6) AS roc_auc FROM (
+SELECT p.model, p.c, sum(CASE WHEN p.s > q.s THEN 1.0 WHEN p.s = q.s THEN 0.5 ELSE 0.0 END)::DOUBLE / count(*) AS a
+FROM sc p JOIN sc q ON p.model = q.model AND p.c = q.c AND p.label = p.c AND q.label <> q.c GROUP BY p.model, p.c) GROUP BY model""",
+)
+def roc_auc_runs(spark, sf):
+    """The areas of several models' scores in the same jobs."""
+    train, test = _train_test(spark, sf)
+    fit = scale.fit_scaler(train, FEATURES, digits=9)
+    scaled = scale.apply_scaler(train, fit), scale.apply_scaler(test, fit)
+    runs = None
+    for spec, (a, b) in ((gaussian_spec(), (train, test)), (nearest_spec(), scaled)):
+        own = spec.fit(a, PROBLEM).predict(b)
+        own = own.select(F.lit(spec.name).alias("model"), "label", *[f"score_{c}" for c in PROBLEM.classes])
+        runs = own if runs is None else runs.unionByName(own)
+    found = auc.roc_auc_ovr(materialize(runs, "runs"), "label", {c: f"score_{c}" for c in PROBLEM.classes}, by=["model"])
+    return found.select("model", r6("roc_auc", "roc_auc"))
+
+
 # --- classifiers from MLlib -----------------------------------------------------------------
 
 

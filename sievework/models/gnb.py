@@ -154,7 +154,7 @@ def predict_candidates(
     """Predictions of every smoothing candidate, each row by the fit of its own ``part``.
 
     The parameters become one row per (part, candidate): as many as folds x candidates, so they
-    are broadcast. Adds ``candidate_id`` and ``prediction``. For a single fit score the candidates
+    are a local table that Spark broadcasts by its size. Adds ``candidate_id`` and ``prediction``. For a single fit score the candidates
     with :func:`predict_smoothings`.
     """
     classes = sorted({c for m in fits.values() for c in m.classes})
@@ -185,7 +185,7 @@ def predict_candidates(
             gap = F.col(f) - F.col(f"_m{i}_{j}")
             gaps.append(gap * gap / F.col(f"_v{i}_{j}"))
         scores.append(F.col(f"_b{i}") - F.lit(0.5) * _total(gaps))
-    joined = df.join(F.broadcast(table), part)
+    joined = df.join(table, part)
     return joined.select(
         *df.columns, "candidate_id", S.argmax_first(scores, classes).alias("prediction")
     )

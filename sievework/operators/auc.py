@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -18,8 +18,10 @@ def roc_auc_ovr(
     label: str,
     scores: Mapping[Any, str],
     direct_rows: int = running.DIRECT_ROWS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row ``roc_auc``. ``scores`` names the score column of each class.
+    """``roc_auc`` of all rows, or of every run named by the ``by`` columns in the same jobs. ``scores`` names the
+    score column of each class.
 
     Per class it is the share of (positive, negative) pairs ranked rightly, equal scores counting
     half. Two classes: only the second one's score is used. NULL when a class has no positive or
@@ -39,21 +41,23 @@ def roc_auc_ovr(
     )
     known = F.col(label).isin(classes)
     usable = reduce(and_, [~F.isnan(x := F.col(scores[c]).cast("double")) & x.isNotNull() for c in asked])
-    facts = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~known | F.col(label).isNull() | ~usable).alias("unknown"),
-    ).first()
+    bad = F.count_if(~known | F.col(label).isNull() | ~usable).alias("unknown")
+    n_rows = df.count()
     # Equal scores are merged first, map-side: a score shared by many rows is one row after this.
     steps = (
-        df.select(F.inline(cells))
-        .groupBy("c", "score")
+        df.select(*by, F.inline(cells))
+        .groupBy(*by, "c", "score")
         .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
     )
     ranked = running.total_before(
-        steps, ["c"], "score", "neg", "below", facts["n"] * len(asked), direct_rows
+        steps, [*by, "c"], "score", "neg", "below", n_rows * len(asked), direct_rows
     )
     won = F.sum(F.col("pos").cast("double") * (F.col("below") + F.col("neg") / F.lit(2.0)))
     pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    per_class = ranked.groupBy("c").agg(F.try_divide(won, pairs).alias("auc"))
-    whole = (F.count("auc") == F.lit(len(asked))) & F.lit(facts["unknown"] == 0)
-    return per_class.agg(F.when(whole, F.avg("auc")).alias("roc_auc"))
+    per_class = ranked.groupBy(*by, "c").agg(F.try_divide(won, pairs).alias("auc"))
+    # One row per run: a run with a bad row has no area.
+    facts = df.groupBy(*by).agg(bad)
+    found = per_class.groupBy(*by).agg(F.count("auc").alias("n"), F.avg("auc").alias("mean"))
+    joined = found.join(facts, list(by)) if by else found.withColumn("unknown", F.lit(facts.first()["unknown"]))
+    whole = (F.col("n") == F.lit(len(asked))) & (F.col("unknown") == 0)
+    return joined.select(*by, F.when(whole, F.col("mean")).alias("roc_auc"))

@@ -12,6 +12,9 @@ from pyspark.sql import Window
 # Groups up to this many rows are summed in one window; beyond it a range holds about so many.
 DIRECT_ROWS = 1_000_000
 _RANGE_ROWS = 100_000
+# Ranges at most, and the accuracy of the sketch that cuts them: its buffer does not grow with the rows.
+_MOST_RANGES = 2_000
+_SKETCH = 10_000
 
 
 def total_before(
@@ -33,11 +36,11 @@ def total_before(
     if n_rows <= direct_rows:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(before, -1)
         return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    cuts = max(1, -(-n_rows // _RANGE_ROWS))
+    cuts = max(1, min(_MOST_RANGES, -(-n_rows // _RANGE_ROWS)))
     probs = [i / (cuts + 1) for i in range(1, cuts + 1)]
     x = F.col(order).cast("double")
     grid = F.array(*[F.lit(p) for p in probs])
-    found = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), grid, max(10_000, 10 * cuts)).alias("q"))
+    found = df.agg(F.percentile_approx(F.when(~F.isnan(x), x), grid, _SKETCH).alias("q"))
     inner = {q for q in found.first()["q"] or [] if abs(q) != float("inf")}
     splits = [float("-inf"), *sorted(inner), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_order", outputCol="_bucket", handleInvalid="keep")

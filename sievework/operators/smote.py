@@ -70,14 +70,14 @@ def smote(
             raise ValueError(f"class {c!r} has {n} rows, SMOTE with k={k} needs more than {k}")
 
     group = [*within, label]
-    # One row per class that needs more rows: bounded by the number of classes.
+    # One row per class that needs more rows; Spark broadcasts it as long as its known size allows.
     long_ = [T.StructField(c, T.LongType()) for c in ("_size", "_need")]
     plan = spark.createDataFrame(
         [(*part, c, n, need) for part, c, n, need in lacking],
         T.StructType([*sampling.key_schema(df, group).fields, *long_]),
     )
     # Read several times below; written once so the input is not scanned each time.
-    minority = materialize(df.join(F.broadcast(plan.select(*group)), group), "minority")
+    minority = materialize(df.join(plan.select(*group), group), "minority")
     near = neighbors.knn_within_group(minority, features, key, k, group, cell_rows)
     total = sum(n for _, _, n, _ in lacking)
     numbered = sampling.dense_numbers(near, group, [*group, key], "smote", total, "_base", seed)

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from sievework.functions import scalars as S
 
+# File beside delimited text whose line breaks are backslash escapes; readers of the data skip such names.
+ESCAPED_MARK = "_escaped_breaks"
+
 # Text cells a tabular reader takes as missing.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -24,17 +27,20 @@ def scan_delimited(
     schema: T.StructType,
     sep: str = ";",
     missing: Sequence[str] = MISSING_TOKENS,
-    escaped_breaks: bool = True,
+    escaped_breaks: bool | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
     """Read delimited text with a header; listed tokens are missing, bad numbers become NULL.
 
     Every field is read as text first, so that a bad number is a missing cell and not a
-    missing row, then cast to the declared type. Spaces around a value are kept. Line breaks written
-    as backslash escapes are read as breaks. For foreign files with breaks inside quotes ask for
-    ``multi_line``, which reads each file in one task, and for ``escaped_breaks=False`` if backslashes
-    stand for themselves.
+    missing row, then cast to the declared type. Spaces around a value are kept. Backslashes stand for
+    themselves, unless the folder says that ``write_delimited`` escaped line breaks or ``escaped_breaks``
+    asks for it. For foreign files with breaks inside quotes ask for ``multi_line``, which reads each file
+    in one task.
     """
+    if escaped_breaks is None:
+        mark = spark._jvm.org.apache.hadoop.fs.Path(path, ESCAPED_MARK)
+        escaped_breaks = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
     raw = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     rows = (
         spark.read.schema(raw)

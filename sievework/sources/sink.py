@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import scalars as S
+from sievework.sources import scan
 
 # Report headings of the result tables.
 REPORT_NAMES = {
@@ -40,8 +41,8 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", escape_breaks: boo
     """Header row, no index, values with outer spaces kept as they are.
 
     Line breaks in text are written as backslash escapes (and backslashes doubled), so that a row is
-    a line and files stay splittable; ``scan_delimited`` undoes it. ``escape_breaks=False`` writes
-    them as they are, inside quotes. Like any delimited text it cannot tell a missing cell from an
+    a line and files stay splittable; an empty file ``_escaped_breaks`` beside them tells ``scan_delimited``
+    to undo it. ``escape_breaks=False`` writes them as they are, inside quotes. Like any delimited text it cannot tell a missing cell from an
     empty one: both read back as missing.
     """
     if escape_breaks:
@@ -54,6 +55,9 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", escape_breaks: boo
         .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
+    if escape_breaks:
+        marker = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path, scan.ESCAPED_MARK)
+        marker.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).create(marker, True).close()
 
 
 def write_stage(df: DataFrame, root: str, stage: str) -> DataFrame:
