@@ -423,6 +423,47 @@ def knn_within_group(
     return rows.withColumn("neighbors", F.slice(others, 1, k))
 
 
+def knn_leaving_out(
+    df: DataFrame,
+    features: Sequence[str],
+    key: str,
+    k: int,
+    group: Sequence[str],
+    fold: str,
+    folds: int,
+    left_out: str = "left_out",
+    listed: int | None = None,
+    cell_rows: int = CELL_ROWS,
+) -> DataFrame:
+    """Each row once per fold other than its own (``left_out``), with its k nearest other rows outside that fold.
+
+    All folds share one search for ``listed`` neighbours (2k + 5 by default), from which each fold's rows are struck.
+    A list that keeps fewer than k, although the group has more rows than it shows, is searched for again
+    among the rows of its own fold's training part; only groups with such lists are copied for that.
+    """
+    features, group = list(features), list(group)
+    many = 2 * k + 5 if listed is None else max(listed, k + 1)
+    lists = neighbor_lists(df, df, features, key, many, group, [*features, fold], cell_rows)
+    rows = attach_neighbors(df, lists, features, key, group)
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))
+    each = rows.withColumn("_listed", F.size("neighbors")).withColumn(left_out, F.explode(others))
+    kept = F.filter("neighbors", lambda s: (s["key"] != F.col(key)) & (s[fold] != F.col(left_out)))
+    struck = materialize(each.withColumn("neighbors", F.slice(kept, 1, k)), "neighbors-left-out")
+    is_short = (F.size("neighbors") < k) & (F.col("_listed") == many)
+    columns = [left_out, *df.columns, "neighbors"]
+    whole = struck.where(~is_short).select(*columns)
+    short = struck.where(is_short).select(left_out, *df.columns)
+    if short.isEmpty():
+        return whole
+    needed = short.select(left_out, *group).distinct()
+    base = df.withColumn(left_out, F.explode(others)).join(needed, [left_out, *group])
+    within = [left_out, *group]
+    again = neighbor_lists(base, short, features, key, k + 1, within, [*features, fold], cell_rows)
+    found = attach_neighbors(short, again, features, key, within)
+    own = F.filter("neighbors", lambda s: s["key"] != F.col(key))
+    return whole.unionByName(found.withColumn("neighbors", F.slice(own, 1, k)).select(*columns))
+
+
 def knn_pairs(
     df: DataFrame,
     features: Sequence[str],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -39,13 +39,15 @@ def smote(
     within: Sequence[str] = (),
     seed: int = SEED,
     cell_rows: int = neighbors.CELL_ROWS,
+    near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Original rows plus, per class, as many synthetic rows as it lacks to the largest class.
 
     Synthetic row i takes a random row of its class, one of that row's k nearest neighbours of the
     same class, and a random point on the line between them. All draws depend only on
     (seed, within, class, i). With ``within`` columns (for example the left-out fold) every part
-    is balanced on its own, all parts in the same jobs.
+    is balanced on its own, all parts in the same jobs. ``near`` gives the rows of the (within, class) groups
+    it is handed with their k neighbours, for callers that know a shorter way than searching each part.
 
     Result: within, label, features, key (NULL when synthetic), number (NULL when original).
     A class with k rows or fewer raises.
@@ -76,11 +78,14 @@ def smote(
         [(*part, c, n, need) for part, c, n, need in lacking],
         T.StructType([*sampling.key_schema(df, group).fields, *long_]),
     )
-    # Read several times below; written once so the input is not scanned each time.
-    minority = materialize(df.join(plan.select(*group), group), "minority")
-    near = neighbors.knn_within_group(minority, features, key, k, group, cell_rows)
+    if near is None:
+        # Read several times below; written once so the input is not scanned each time.
+        minority = materialize(df.join(plan.select(*group), group), "minority")
+        listed = neighbors.knn_within_group(minority, features, key, k, group, cell_rows)
+    else:
+        listed = near(plan.select(*group))
     total = sum(n for _, _, n, _ in lacking)
-    numbered = sampling.dense_numbers(near, group, [*group, key], "smote", total, "_base", seed)
+    numbered = sampling.dense_numbers(listed, group, [*group, key], "smote", total, "_base", seed)
     numbered = numbered.select(*group, "_base", *features, "neighbors")
 
     # The rows to make, counted out in chunks spread over many tasks, never from one task.
@@ -134,9 +139,19 @@ def smote_per_fold(
     seed: int = SEED,
     cell_rows: int = neighbors.CELL_ROWS,
 ) -> DataFrame:
-    """Balanced training rows for every left-out fold; left-out rows are never touched."""
+    """Balanced training rows for every left-out fold; left-out rows are never touched.
+
+    Neighbours are searched for once, over the rows of all folds.
+    """
     training = fold_training_sets(folded, fold, folds)
-    return smote(training, features, label, key, k, ["left_out"], seed, cell_rows)
+    rows = folded.select(key, label, fold, *[F.col(f).cast("double").alias(f) for f in features])
+
+    def near(groups: DataFrame) -> DataFrame:
+        lacking = materialize(rows.join(groups.select(label).distinct(), label), "minority")
+        found = neighbors.knn_leaving_out(lacking, features, key, k, [label], fold, folds, cell_rows=cell_rows)
+        return materialize(found.join(groups, ["left_out", label]), "fold-neighbors")
+
+    return smote(training, features, label, key, k, ["left_out"], seed, cell_rows, near)
 
 
 def resample_effect(before: DataFrame, after: DataFrame, label: str) -> DataFrame:

@@ -109,3 +109,19 @@ def test_fit_rows_bound_the_tree(spark):
     grown = trees.grow(table, X, "label", 3, max_depth=1, fit_rows=500)
     taken = sum(grown.nodes.where("node = 0").first()["t"])
     assert 350 < taken < 650
+
+
+@pytest.mark.parametrize("listed", [None, 4])
+def test_neighbours_of_all_folds_from_one_search(spark, listed):
+    """Lists that a fold leaves too short are searched for again; all are those of searching each fold."""
+    from sievework.operators import neighbors, smote
+
+    draw = random.Random(9)
+    rows = [(i, i % 4 % 3, float(draw.randrange(4)), float(draw.randrange(5)), i // 3 % 5) for i in range(160)]
+    rows += [(1000 + i, 9, float(i), 0.0, i % 5) for i in range(6)]
+    table = spark.createDataFrame(rows, "id long, label int, x1 double, x2 double, fold int").repartition(3)
+    found = neighbors.knn_leaving_out(table, X, "id", 3, ["label"], "fold", 5, listed=listed)
+    copies = smote.fold_training_sets(table, "fold", 5)
+    want = neighbors.knn_within_group(copies, X, "id", 3, ["left_out", "label"])
+    shown = lambda df: sorted((r["left_out"], r["id"], [s["key"] for s in r["neighbors"]]) for r in df.collect())
+    assert shown(found) == shown(want)
