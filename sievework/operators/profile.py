@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from sievework.operators import order_stats
 from sievework.operators.project import missing, nan_as_null, numeric_columns
+from sievework.session import materialize
 
 
 def value_counts(df: DataFrame, column: str, by_key: bool = False) -> DataFrame:
@@ -91,16 +92,27 @@ def median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return quantiles(df, columns, [0.5]).select("column_name", F.col("value").alias("median"))
 
 
+#: Texts of up to so many bytes are counted by themselves, longer ones by their digest.
+SHORT_BYTES = 32
+
+
+def _count_key(column: str) -> Column:
+    """What a value is counted by: never more than a few dozen bytes, however long the text."""
+    value = F.col(column).cast("string")
+    short = F.octet_length(value) <= SHORT_BYTES
+    return F.when(short, F.concat(F.lit("="), value)).otherwise(F.concat(F.lit("#"), F.md5(value)))
+
+
 def _keyed_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value, n) over several columns at once; values shown as text."""
+    """(column_name, key, n) of the values that are not missing; no text is shuffled."""
     cells = [
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("column_name"), F.when(F.col(c).isNotNull(), _count_key(c)).alias("key"))
         for c in columns
     ]
     return (
         df.select(F.inline(F.array(*cells)))
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
+        .where(F.col("key").isNotNull())
+        .groupBy("column_name", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -108,22 +120,45 @@ def _keyed_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def text_description(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, n, n_unique, top, freq); the smallest value wins a tie for top.
 
-    Counting per value comes first, so the per-column step only sees one row per value and
-    combines map-side; no value set is collected.
+    Counting per value comes first, keyed by a digest where values are long, so the per-column step only sees
+    one short row per value and combines map-side. Long texts themselves are looked at again only for the
+    least of those that tie; where no value of a column occurs twice that is a minimum over the rows.
     """
-    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("value")))
-    return (
-        _keyed_counts(df, columns)
-        .groupBy("column_name")
-        .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unique"), best.alias("best"))
-        .select(
-            "column_name",
-            "n",
-            "n_unique",
-            F.col("best.value").alias("top"),
-            (-F.col("best.neg")).alias("freq"),
-        )
+    spark = df.sparkSession
+    counts = materialize(_keyed_counts(df, columns), "value-counts")
+    facts = counts.groupBy("column_name").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unique"), F.max("n").alias("freq")
+    )
+    facts = {r["column_name"]: r for r in facts.collect()}  # a row per column
+    schema = "column_name string, n long, n_unique long, top string, freq long"
+    if not facts:
+        return spark.createDataFrame([], schema)
+    most = spark.createDataFrame([(c, r["freq"]) for c, r in facts.items()], "column_name string, n long")
+    tied = counts.join(most, ["column_name", "n"])
+    is_short = F.col("key").startswith("=")
+    least = tied.groupBy("column_name").agg(
+        F.min(F.when(is_short, F.substring("key", 2, SHORT_BYTES))).alias("top"), F.count_if(~is_short).alias("long")
     )
+    least = {r["column_name"]: r for r in least.collect()}
+    found: dict[str, list[str]] = {c: [r["top"]] for c, r in least.items() if r["top"] is not None}
+
+    def cells(names: Sequence[str]) -> DataFrame:
+        of = lambda c: F.struct(F.lit(c).alias("column_name"), _count_key(c).alias("key"), F.col(c).cast("string").alias("value"))
+        return df.select(F.inline(F.array(*[of(c) for c in names]))).where(F.col("key").startswith("#"))
+
+    again = [c for c, r in least.items() if r["long"]]
+    once, many = [c for c in again if facts[c]["freq"] == 1], [c for c in again if facts[c]["freq"] > 1]
+    longs = []
+    if once:
+        longs.append(cells(once))
+    if many:
+        longs.append(cells(many).join(tied.where(~is_short).select("column_name", "key"), ["column_name", "key"], "left_semi"))
+    for some in longs:
+        for r in some.groupBy("column_name").agg(F.min("value").alias("top")).collect():
+            found.setdefault(r["column_name"], []).append(r["top"])
+    # Spark orders text by its bytes.
+    rows = [(c, r["n"], r["n_unique"], min(found[c], key=lambda t: t.encode()), r["freq"]) for c, r in facts.items()]
+    return spark.createDataFrame(rows, schema)
 
 
 def mode_smallest(df: DataFrame, column: str) -> DataFrame:
