@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +20,8 @@ from sievework.plans import search
 from sievework.session import materialize
 
 SCENARIOS = ["none", "smote_k3"]
+# Runs of a comparison that are under way at a time.
+PARALLEL_RUNS = 6
 
 # The two remarks of the final table, and the recall from which a class counts as found.
 MISSED_REMARK = "Gagal deteksi minoritas (Accuracy Paradox)"
@@ -94,11 +99,14 @@ def compare_models(
     problem: Problem,
     registry: Sequence[ModelSpec] | None = None,
     smote_k: int = 3,
+    parallelism: int = PARALLEL_RUNS,
 ) -> DataFrame:
     """All models x {none, SMOTE}, ranked by F1.
 
     Scaling is fitted on the training rows; resampling comes after scaling. Each of the prepared
-    training tables is written once and shared by all models.
+    training tables is written once and shared by all models. ``parallelism`` runs are under way at a time, so the
+    seconds of a run hold what the others leave it. A run that fails has no metrics and a warning; the others
+    go on, and only if all fail does the first error rise.
     """
     registry = list(default_registry() if registry is None else registry)
     features = list(problem.features)
@@ -106,7 +114,8 @@ def compare_models(
     fit = scale.fit_scaler(train, features)
     plain = {False: train.select(*kept), True: scale.apply_scaler(train.select(*kept), fit)}
     tests = {False: test.select(*kept), True: scale.apply_scaler(test.select(*kept), fit)}
-    rows = []
+    spark = train.sparkSession
+    todo: list[tuple[ModelSpec, DataFrame, DataFrame, str]] = []
     for scenario in SCENARIOS:
         for scaled in (False, True):
             specs = [s for s in registry if s.use_scaling == scaled]
@@ -119,11 +128,38 @@ def compare_models(
                 rows_in = _with_keys(balanced, problem)
             prepared_train = materialize(rows_in, "train")
             prepared_test = materialize(tests[scaled], "test")
-            for spec in specs:
-                run = evaluate_model(spec, prepared_train, prepared_test, problem, scenario)
-                rows.append(run.metrics.first())
-    table = train.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
-    return ranking.rank_models(table)
+            todo += [(spec, prepared_train, prepared_test, scenario) for spec in specs]
+    rows = run_side_by_side(spark, todo, problem, parallelism)
+    return ranking.rank_models(spark.createDataFrame(rows, RESULT_SCHEMA))
+
+
+def run_side_by_side(
+    spark: SparkSession, runs: Sequence[tuple[ModelSpec, DataFrame, DataFrame, str]], problem: Problem, parallelism: int
+) -> list[tuple]:
+    """The metrics of every run (spec, train, test, scenario), in the order given.
+
+    Each run submits its jobs from a thread of its own, which inherits the caller's job group and tags and names a
+    scheduler pool, so that under fair scheduling no run waits for all of another.
+    """
+
+    def one(spec: ModelSpec, train: DataFrame, test: DataFrame, scenario: str) -> tuple:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{spec.name} {scenario}")
+        return tuple(evaluate_model(spec, train, test, problem, scenario).metrics.first())
+
+    blank = (None,) * (len(RESULT_SCHEMA) - 2)
+    found, errors = [], []
+    with ThreadPoolExecutor(parallelism) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(one), *run) for run in runs]
+        for (spec, _, _, scenario), future in zip(runs, waiting):
+            try:
+                found.append(future.result())
+            except Exception as error:  # noqa: BLE001
+                errors.append(error)
+                warnings.warn(f"{spec.name} ({scenario}) failed: {str(error)[:300]}", stacklevel=2)
+                found.append((spec.name, scenario, *blank))
+    if errors and len(errors) == len(runs):
+        raise errors[0]
+    return found
 
 
 def _with_keys(balanced: DataFrame, problem: Problem) -> DataFrame:

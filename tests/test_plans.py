@@ -134,6 +134,23 @@ def test_comparison_of_two_models(spark):
     assert all(r["train_seconds"] >= 0 and r["roc_auc"] is not None for r in rows)
 
 
+def test_a_failing_run_does_not_end_the_others(spark):
+    train, test = learn._train_test(spark, SF)
+
+    def fail(rows, problem):
+        raise RuntimeError("no such model")
+
+    specs = [registry.gaussian_spec(), registry.ModelSpec("Broken", fail)]
+    spark.sparkContext.setLocalProperty("spark.job.description", "compared")
+    with pytest.warns(UserWarning, match="Broken"):
+        rows = comparison.compare_models(train, test, learn.PROBLEM, specs).collect()
+    assert [(r["model"], r["f1"] is None) for r in rows] == [("Naive Bayes", False)] * 2 + [("Broken", True)] * 2
+    good = [r for r in rows if r["f1"] is not None]
+    assert all(r["train_seconds"] > 0 and r["predict_seconds"] > 0 for r in good)
+    with pytest.raises(RuntimeError, match="no such model"), pytest.warns(UserWarning):
+        comparison.compare_models(train, test, learn.PROBLEM, specs[1:])
+
+
 def test_cut_off_trees_equal_fitted_trees(spark):
     """Depth limits read off the full tree score like trees grown with that limit."""
     train, _ = learn._train_test(spark, SF)
