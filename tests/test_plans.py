@@ -18,9 +18,10 @@ from sievework.sources import scan, sink
 SF = "/root/testdata/sf0.01"
 X = base.FEATURES
 
-# These look for neighbours with numpy inside tasks; everything else stays in the JVM.
+# These look for neighbours or walk boosted trees with numpy inside tasks; everything else stays in the JVM.
 USES_PYTHON = {
-    "knn_within_class", "smote_oversample", "smote_per_fold", "resample_effect", "knn_classify", "knn_scores"
+    "knn_within_class", "smote_oversample", "smote_per_fold", "resample_effect", "knn_classify", "knn_scores",
+    "model_facts",
 }
 
 
