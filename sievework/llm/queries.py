@@ -144,6 +144,9 @@ _SLOT_SQL = f"""CASE WHEN regexp_matches(x, '^[0-9]') THEN 'num'
   WHEN lower(x) IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN 'unit'
   WHEN regexp_matches(x, '^\\p{{Lu}}') AND (length(x) = 1 OR regexp_matches(x, '\\p{{Ll}}')) THEN 'name' END"""
 
+# How many words lie in at least one of the windows at the given places.
+_COVERED_SQL = """coalesce(len(list_distinct(flatten(list_transform({0}, lambda x: range(x, x + {1}))))), 0)"""
+
 _LEAKS_SQL = f"""
 WITH w AS (
   SELECT side, id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*|[\\p{{L}}\\p{{M}}]+') AS w
@@ -162,12 +165,16 @@ win AS (
     plain := array_to_string(plain[i:i + width - 1], ' '))), recursive := true)
   FROM c JOIN widths ON n >= width AND (side = 'doc' OR width = least(n, {decontaminate.WINDOW}))),
 few AS (
-  SELECT side, id, n, width, true AS slotted, canon, min(pos) AS pos, arg_min(slots, pos) AS slots
-  FROM win WHERE len(slots) * 2 <= width GROUP BY ALL
+  SELECT side, id, n, width, true AS slotted, canon, pos, slots FROM win WHERE len(slots) > 0 AND len(slots) * 2 <= width
+  UNION ALL SELECT side, id, n, width, true, canon, min(pos), [] FROM win WHERE len(slots) = 0 GROUP BY ALL
   UNION ALL SELECT side, id, n, width, false, plain, min(pos), [] FROM win GROUP BY ALL),
+spread AS (
+  SELECT id, n, {_COVERED_SQL.format("list(pos) FILTER (NOT slotted)", "width")} AS plain,
+    {_COVERED_SQL.format("list(pos) FILTER (slotted)", "width")} AS told
+  FROM few WHERE side = 'item' GROUP BY id, n, width),
 wanted AS (
-  SELECT id AS item_id, least(n, {decontaminate.LEAST_WORDS}, count(*) + width - 1) AS need
-  FROM few WHERE side = 'item' AND NOT slotted GROUP BY id, n, width),
+  SELECT id AS item_id, least(n, {decontaminate.LEAST_WORDS}, plain) AS need,
+    least(n, {decontaminate.LEAST_WORDS}, plain, coalesce(nullif(told, 0), n)) AS need_slotted FROM spread),
 hit AS (
   SELECT d.id AS doc_id, i.id AS item_id, i.n, i.width, i.slotted, d.pos - i.pos AS shift, i.pos, list_zip(i.slots, d.slots) AS pairs
   FROM few d JOIN few i ON d.side = 'doc' AND i.side = 'item' AND d.canon = i.canon AND d.width = i.width AND d.slotted = i.slotted),
@@ -178,12 +185,13 @@ one AS (
   SELECT * FROM aligned WHERE len(pairs) = len(list_distinct(list_transform(pairs, lambda q: q[1])))
     AND len(pairs) = len(list_distinct(list_transform(pairs, lambda q: q[2])))),
 held AS (
-  SELECT doc_id, item_id, n, len(list_distinct(flatten(list(windows)))) + any_value(width) - 1 AS words,
+  SELECT doc_id, item_id, n, {_COVERED_SQL.format("flatten(list(windows))", "width")} AS words,
+    {_COVERED_SQL.format("flatten(list(windows) FILTER (slotted))", "width")} AS told,
     max(len(pairs)) AS slots, max(len(list_filter(pairs, lambda q: q[1] <> q[2]))) AS changed_slots
-  FROM one GROUP BY doc_id, item_id, n)
+  FROM one GROUP BY doc_id, item_id, n, width)
 SELECT doc_id, item_id, CAST(words AS BIGINT) AS words, CAST(n AS BIGINT) AS item_words,
   CAST(slots AS BIGINT) AS slots, CAST(changed_slots AS BIGINT) AS changed_slots
-FROM held JOIN wanted USING (item_id) WHERE words >= need"""
+FROM held JOIN wanted USING (item_id) WHERE words >= need OR told >= need_slotted"""
 
 _TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from check_oracle import compare, duck_tables
 from odd_texts import ODD_TEXTS
@@ -36,6 +37,32 @@ def test_same_rows_as_sql(spark):
     assert problem is None, problem
 
 
+def test_same_rows_as_sql_on_edited_copies(spark, tmp_path):
+    """Copies with changed words, repeated variants of a template, items that are mostly slots and short ones."""
+    plain = [f"w{'abcdefghijklmnopqrst'[k % 20]}{'xyz'[k // 20]}" for k in range(60)]
+    long, other = plain[:35], plain[35:52]
+    template = "if {} boxes hold {} pens then how many pens do {} boxes hold in all of them together"
+    slots = "Anna 5 km Bob 7 kg Cara 9 km Dan 11 kg then plain words go on here for some while longer"
+    items = [" ".join(long), " ".join(other), template.format(12, 30, 12), slots, "alpha beta gamma", " ".join(plain[:8] * 3)]
+    edits = []
+    for words in (long, other):
+        for changed in ((), (9,), (9, 18), (9, 18, 27), (2, 5, 11, 14), tuple(range(0, 35, 4))):
+            edits.append(" ".join("changed" if k in changed else w for k, w in enumerate(words)))
+    variants = f"{template.format(4, 4, 5)} . {template.format(5, 7, 5)}"
+    texts = [*edits, variants, template.format(3, 3, 4), slots.replace("Bob", "Eve"), slots.replace("Anna 5", "Eve 7"),
+             "so alpha beta gamma it is", "ALPHA BETA GAMMA", " ".join(long).upper(), " ".join(plain[:8] * 2), None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[1]), (None, texts[0])], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{tmp_path}/benchmark"))
+    assert found.count() > 10
+    problem = compare(found, db, queries.ORACLE["op7_decontamination"])
+    assert problem is None, problem
+
+
 def test_every_whole_item_is_found(spark):
     items = queries.table(spark, SF, "benchmark").collect()
     docs = queries.table(spark, SF, "documents").collect()
