@@ -109,6 +109,8 @@ def write_orc(
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
         .option("orc.stripe.size", str(stripe_bytes))
+        # ``first`` counts within a task, so a task has one file whatever the session allows a file to hold.
+        .option("maxRecordsPerFile", 0)
         .option("compression", "snappy")  # the integer encoding has packed the ids already
         .orc(path)
     )

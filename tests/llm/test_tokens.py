@@ -102,6 +102,21 @@ def test_orc_of_odd_rows(spark, odd_docs, no_docs):
     assert token_orc.ids_crc32(token_orc.with_start(spark, empty)).count() == 0
 
 
+def test_starts_where_the_session_limits_the_rows_of_a_file(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 7)) for i in range(40)], "doc_id long, text string").repartition(3)
+    path = scratch_path(spark, "many-files")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        token_orc.write_orc(docs, path, queries.WORD_BPE)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    rows = sorted(token_orc.with_start(spark, path).select("doc_id", "start", "n_tokens").collect())
+    start = 0
+    for r in rows:
+        assert r["start"] == start
+        start += r["n_tokens"]
+
+
 def test_orc_files_have_stripes_and_prune_by_id(spark):
     path = scratch_path(spark, "test-orc")
     docs = queries.table(spark, SF, "documents")
