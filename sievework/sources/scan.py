@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions import scalars as S
+from sievework.sources import quoted
 
 # File beside delimited text whose line breaks are backslash escapes; readers of the data skip such names.
 ESCAPED_MARK = "_escaped_breaks"
@@ -35,25 +36,21 @@ def scan_delimited(
     Every field is read as text first, so that a bad number is a missing cell and not a
     missing row, then cast to the declared type. Spaces around a value are kept. Backslashes stand for
     themselves, unless the folder says that ``write_delimited`` escaped line breaks or ``escaped_breaks``
-    asks for it. For foreign files with breaks inside quotes ask for ``multi_line``, which reads each file
-    in one task.
+    asks for it. For foreign files with breaks inside quotes ask for ``multi_line``; such a file is read by
+    as many tasks as any other (see ``quoted.records``).
     """
     if escaped_breaks is None:
         mark = spark._jvm.org.apache.hadoop.fs.Path(path, ESCAPED_MARK)
         escaped_breaks = mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
     raw = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
-    rows = (
-        spark.read.schema(raw)
-        .option("header", True)
-        .option("sep", sep)
-        .option("enforceSchema", False)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    options |= {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    if multi_line:
+        found = quoted.records(spark, path, schema.names, sep)
+        cells = F.from_csv("record", F.lit(raw.simpleString()), options | {"multiLine": "true"})
+        rows = found.select(cells.alias("cells")).select("cells.*")
+    else:
+        rows = spark.read.schema(raw).options(header=True, enforceSchema=False, **options).csv(path)
     columns = []
     for f in schema.fields:
         text = F.when(~F.col(f.name).isin(list(missing)), F.col(f.name))
