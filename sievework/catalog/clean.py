@@ -20,7 +20,7 @@ from sievework.catalog.base import (
     table,
 )
 from sievework.functions import scalars as S
-from sievework.operators import dedup, impute as imp, outliers, profile, scale
+from sievework.operators import dedup, impute as imp, outliers, profile, scale, sketches
 from sievework.plans import cleaning
 from sievework.session import materialize, scratch_path
 from sievework.sources import scan, sink
@@ -48,6 +48,16 @@ def scan_delimited(spark, sf):
     return scan.scan_delimited(spark, path, schema)
 
 
+@query("scan_quoted_breaks", "SELECT doc_id, md5(text) AS digest, length(text) AS n_chars, lang FROM documents")
+def scan_quoted_breaks(spark, sf):
+    """Texts with line breaks inside quotes, every byte range of a file read on its own."""
+    path = scratch_path(spark, "quoted")
+    sink.write_delimited(table(spark, sf, "documents").select("doc_id", "text", "lang"), path, sep=";", escape_breaks=False)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
+    rows = scan.scan_delimited(spark, path, schema, missing=[""], multi_line=True)
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"), "lang")
+
+
 @query("scan_stage", duck("imb") + "SELECT label, count(*) AS n, sum(x1) AS x1 FROM imb GROUP BY label")
 def scan_stage(spark, sf):
     rows = imb(spark, sf)
@@ -352,6 +362,27 @@ def quantiles_large(spark, sf):
     return out.select("column_name", "prob", r6("value", "value"))
 
 
+@query(
+    "quantile_sketches",
+    """SELECT event_type, prob, count(value) AS n, TRUE AS within FROM events, (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])::DOUBLE AS prob)
+GROUP BY event_type, prob""",
+)
+def quantile_sketches(spark, sf):
+    """Quantiles per event type from sketches of two batches, merged; their true ranks are counted.
+
+    ``within`` says that the rank is no farther from the wanted one than the sketch's bound."""
+    rows = table(spark, sf, "events").select("event_type", "event_id", "value")
+    parts = [
+        sketches.sketch_table(rows.where(F.col("event_id") % 3 == 0), ["value"], ["event_type"]),
+        sketches.sketch_table(rows.where(F.col("event_id") % 3 != 0), ["value"], ["event_type"]),
+    ]
+    merged = materialize(sketches.merge(parts, ["event_type"]), "sketches")
+    found = sketches.quantiles(merged, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])
+    return sketches.rank_errors(rows, found, "value", ["event_type"]).select(
+        "event_type", "prob", "n", (F.col("error") <= sketches.rank_bound()).alias("within")
+    )
+
+
 @query(
     "moments",
     duck("obs")

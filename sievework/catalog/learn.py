@@ -15,6 +15,7 @@ from sievework.catalog.base import (
     obs,
     query,
     r6,
+    table,
 )
 from sievework.models import boosting, gnb, knn, mllib, trees
 from sievework.models.registry import Problem, default_registry, gaussian_spec, nearest_spec, tree_spec
@@ -76,6 +77,36 @@ def stratified_kfold(spark, sf):
     return folded.select("id", "label", "fold")
 
 
+# Classes of two orders: a class per part that has at least five line items.
+_PARTS = """parts AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS label,
+concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id FROM lineitem
+WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) >= 5)),
+part_rows AS (SELECT label, id FROM parts GROUP BY label, id)"""
+
+
+def _part_rows(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    keys = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents.cast("string"))
+    rows = lines.select(F.col("l_partkey").alias("label"), keys.alias("id"))
+    often = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("label")
+    return materialize(rows.join(often, "label", "left_semi").distinct(), "part-rows")
+
+
+_SPLIT_MANY = _SPLIT.replace("FROM imb)", "FROM part_rows)").replace("r.x1, r.x2, r.x3, ", "")
+
+
+@query("stratified_split_many", f"WITH {_PARTS}, {_SPLIT_MANY} SELECT id, label, is_test FROM split")
+def stratified_split_many(spark, sf):
+    """The split with a class per part, through tables of class quotas as beyond 500,000 classes."""
+    return sampling.stratified_split(_part_rows(spark, sf), "label", ["id"], most_classes=1000)
+
+
+@query("stratified_kfold_many", f"WITH {_PARTS}, {_folds('part_rows')} SELECT id, label, fold FROM folded")
+def stratified_kfold_many(spark, sf):
+    return sampling.stratified_kfold(_part_rows(spark, sf), "label", ["id"], most_classes=1000)
+
+
 # --- neighbours and resampling --------------------------------------------------------------
 
 

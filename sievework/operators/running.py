@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from sievework.session import materialize
+
 # Groups up to this many rows are summed in one window; beyond it a range holds about so many.
 DIRECT_ROWS = 1_000_000
 _RANGE_ROWS = 100_000
@@ -56,3 +58,19 @@ def total_before(
         .withColumn(name, F.col("_before") + F.col("_local"))
         .drop("_bucket", "_local", "_before")
     )
+
+
+def total_before_all(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows of the table that sort before this one; ``order`` must be unique.
+
+    Rows are dealt out by ranges of ``order`` and written once, so that a range stays what it is when a
+    task is repeated; the totals of the ranges, one row a partition, are summed up on their own.
+    """
+    ranged = materialize(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.unboundedPreceding
+    local = F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(before, -1))
+    totals = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    over = Window.orderBy("_range").rowsBetween(before, -1)
+    offsets = totals.select("_range", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_before"))
+    summed = ranged.withColumn("_local", F.coalesce(local, F.lit(0))).join(F.broadcast(offsets), "_range")
+    return summed.withColumn(name, F.col("_before") + F.col("_local")).drop("_range", "_before", "_local")

@@ -19,8 +19,8 @@ from pyspark.sql import Window
 
 from sievework.functions import portable
 from sievework.functions.portable import SEED
-from sievework.operators import profile
-from sievework.session import collect_few
+from sievework.operators import class_quotas, profile
+from sievework.session import TooMany, collect_few
 
 _HASH = "_hash"
 _STEP = 3  # hex digits per round at most: 4096 counts per open prefix
@@ -68,14 +68,15 @@ def _digits(n_open: int) -> int:
 
 
 def _hash_at_ranks(
-    hashed: DataFrame, label: str, choose: Callable[[dict[Any, int]], Mapping[Any, set[int]]]
+    hashed: DataFrame, label: str, choose: Callable[[dict[Any, int]], Mapping[Any, set[int]]], most: int = _COUNTS
 ) -> tuple[dict[Any, int], dict[tuple[Any, int], str]]:
     """Class sizes, and {(class, rank): hash} of the rank-th row (1-based) in hash order.
 
-    ``choose`` names the wanted ranks once the sizes are known. A missing label raises.
+    ``choose`` names the wanted ranks once the sizes are known. A missing label raises, and so do more
+    than ``most`` classes or a million prefixes (``TooMany``).
     """
     listed = collect_few(
-        hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n")), f"values of the class label {label!r}"
+        hashed.groupBy(label).agg(F.count(F.lit(1)).alias("n")), f"values of the class label {label!r}", most
     )
     sizes: dict[Any, int] = {row[label]: row["n"] for row in listed}
     if None in sizes:
@@ -153,15 +154,23 @@ def stratified_split(
     test_size: float = 0.2,
     seed: int = SEED,
     name: str = "is_test",
+    most_classes: int = _COUNTS,
 ) -> DataFrame:
-    """Add ``is_test`` 0/1 with exact per-class quotas. ``keys`` must identify a row."""
+    """Add ``is_test`` 0/1 with exact per-class quotas. ``keys`` must identify a row.
+
+    Up to ``most_classes`` classes rows are marked without a shuffle; beyond it the same rows are found by
+    ``class_quotas``.
+    """
 
     def last_ranks(sizes: dict[Any, int]) -> dict[Any, set[int]]:
         if sizes and min(sizes.values()) < 2:
             raise ValueError("every class needs at least two rows for a stratified split")
         return {c: {q} for c, q in test_quotas(sizes, test_size).items() if q > 0}
 
-    sizes, last = _hash_at_ranks(_hashed(df, label, keys, "split", seed), label, last_ranks)
+    try:
+        sizes, last = _hash_at_ranks(_hashed(df, label, keys, "split", seed), label, last_ranks, most_classes)
+    except TooMany:
+        return class_quotas.stratified_split(df, label, keys, test_size, seed, name)
     quota = test_quotas(sizes, test_size)
     hashed = df.withColumn(_HASH, portable.hash_hex("split", *keys, seed=seed))
     rows = [(c, last[(c, q)]) for c, q in quota.items() if q > 0]
@@ -185,8 +194,12 @@ def stratified_kfold(
     k: int = 5,
     seed: int = SEED,
     name: str = "fold",
+    most_classes: int = _COUNTS,
 ) -> DataFrame:
-    """Add ``fold`` in 0..k-1; per class, fold sizes differ by at most one row."""
+    """Add ``fold`` in 0..k-1; per class, fold sizes differ by at most one row.
+
+    ``most_classes`` as in ``stratified_split``.
+    """
 
     def fold_ends(sizes: dict[Any, int]) -> dict[Any, list[int]]:
         quotas = fold_quotas(sizes, k)
@@ -197,7 +210,10 @@ def stratified_kfold(
             raise ValueError(f"{k} folds need a class with at least {k} rows")
         return {c: {e for e in es[:-1] if 0 < e < sizes[c]} for c, es in fold_ends(sizes).items()}
 
-    sizes, at = _hash_at_ranks(_hashed(df, label, keys, "fold", seed), label, inner_ends)
+    try:
+        sizes, at = _hash_at_ranks(_hashed(df, label, keys, "fold", seed), label, inner_ends, most_classes)
+    except TooMany:
+        return class_quotas.stratified_kfold(df, label, keys, k, seed, name)
     quotas, ends = fold_quotas(sizes, k), fold_ends(sizes)
     rows = []
     for c, es in ends.items():

@@ -98,11 +98,15 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         clear_scratch(spark, since)
 
 
+class TooMany(ValueError):
+    """A table that should have been small is not."""
+
+
 def collect_few(df: DataFrame, what: str, most: int = 1_000_000) -> list:
     """Rows of a table that is small by nature; raises instead of filling the driver if it is not."""
     found = df.limit(most + 1).collect()
     if len(found) > most:
-        raise ValueError(f"more than {most} {what}")
+        raise TooMany(f"more than {most} {what}")
     return found
 
 
