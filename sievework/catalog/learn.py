@@ -19,7 +19,7 @@ from sievework.catalog.base import (
 )
 from sievework.models import boosting, gnb, knn, mllib, trees
 from sievework.models.registry import Problem, default_registry, gaussian_spec, nearest_spec, tree_spec
-from sievework.operators import auc, neighbors, sampling, scale, smote
+from sievework.operators import auc, neighbors, projected_neighbors, sampling, scale, smote
 from sievework.plans import comparison, search
 from sievework.session import materialize
 
@@ -127,6 +127,43 @@ def knn_within_class(spark, sf):
     return pairs.withColumn("d2", F.bround("d2", 6))
 
 
+_USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+@query(
+    "knn_projected",
+    f"""SELECT count(*) AS n_queries, count(*) * least(10, (SELECT count(*) FROM embeddings WHERE {_USABLE}) - 1) AS n_pairs,
+TRUE AS exact_distances, TRUE AS recalled FROM embeddings WHERE vec_id % 20 = 0 AND {_USABLE}""",
+)
+def knn_projected(spark, sf):
+    """Ten nearest of all vectors for every row with an id divisible by 20, held to the exact search.
+
+    ``recalled``: at least nine tenths of the true neighbours are found; ``exact_distances``: those found have the
+    distance that the exact search gives."""
+    vectors = table(spark, sf, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    usable = vectors.where((F.size("embedding") > 0) & finite)
+    wanted = F.col("vec_id") % 20 == 0
+    found = materialize(
+        projected_neighbors.approx_neighbors(vectors, vectors.where(wanted), "embedding", "vec_id", 10), "projected"
+    )
+    first = usable.select(F.size("embedding").alias("n")).first()
+    xs = [f"v{i}" for i in range(first["n"] if first else 0)]
+    wide = materialize(usable.select("vec_id", *[F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(xs)]), "wide")
+    asked = wide.where(wanted)
+    lists = neighbors.neighbor_lists(wide, asked, xs, "vec_id", 11)
+    near = neighbors.attach_neighbors(asked, lists, xs, "vec_id").select("vec_id", "neighbors")
+    others = F.slice(F.filter("neighbors", lambda s: s["key"] != F.col("vec_id")), 1, 10)
+    exact = near.select("vec_id", F.explode(others).alias("s")).select("vec_id", F.col("s.key").alias("neighbor"), F.col("s.d2").alias("true_d2"))
+    both = found.join(exact, ["vec_id", "neighbor"], "left")
+    sums = both.agg(
+        F.count_distinct("vec_id").alias("n_queries"), F.count(F.lit(1)).alias("n_pairs"), F.count("true_d2").alias("hit"),
+        F.bool_and(F.coalesce(F.abs(F.col("d2") - F.col("true_d2")) <= 1e-9, F.lit(True))).alias("exact_distances"),
+    )
+    recalled = F.col("hit") >= 0.9 * F.col("n_pairs")
+    return sums.select("n_queries", "n_pairs", "exact_distances", recalled.alias("recalled"))
+
+
 def _smote(source: str, within: str = "") -> str:
     """CTE resampled(within, label, x1, x2, x3, number) over source."""
     lead = f"{within}, " if within else ""

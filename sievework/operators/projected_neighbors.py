@@ -4,7 +4,9 @@ Boxes stop excluding much beyond some ten features, so the exact search compares
 tables each project the vectors onto a few random directions and halve that space at medians of a bounded
 sample, until a cell holds about ``cell_rows`` vectors. A query looks into its own cell of each table and into
 the cells beyond its closest borders. Candidates are compared exactly on all features, so a neighbour that is
-found has its true distance, and only neighbours that share no cell with the query are missed.
+found has its true distance, and only neighbours that share no cell with the query are missed. A query is compared
+with at most tables x probes x cell_rows vectors, or more where the bounded sample cannot place so many
+cells. Recall depends on the data; more tables, probes or larger cells raise it.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from sievework.operators.neighbors import _grow, _nearest_in, _Tree
 from sievework.operators.skew import salted_join
 from sievework.session import materialize
 
-TABLES = 8
-PROBES = 4  # cells a query asks per table: its own and those beyond its closest borders
-CELL_ROWS = 1024
+TABLES = 16
+PROBES = 8  # cells a query asks per table: its own and those beyond its closest borders
+CELL_ROWS = 256
 DIRECTIONS = 16
 SAMPLE_VALUES = 1 << 26  # numbers of the sampled vectors, 0.5 GB; they only place the cell borders
 _SAMPLE_PER_CELL = 16

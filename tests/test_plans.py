@@ -21,7 +21,7 @@ X = base.FEATURES
 # These look for neighbours or walk boosted trees with numpy inside tasks; everything else stays in the JVM.
 USES_PYTHON = {
     "knn_within_class", "smote_oversample", "smote_per_fold", "resample_effect", "knn_classify", "knn_scores",
-    "model_facts",
+    "model_facts", "knn_projected", "scan_quoted_breaks",
 }
 
 
