@@ -93,7 +93,7 @@ _SIBLINGS = {
 class Node:
     """A block element: its label, whether its text is dropped, and its texts and child blocks in order."""
 
-    __slots__ = ("tag", "label", "dropped", "parts", "kids", "inside", "own", "hint", "hinted", "links")
+    __slots__ = ("tag", "label", "dropped", "parts", "kids", "inside", "own", "hint", "hinted", "links", "shape", "size")
 
     def __init__(self, tag: str, label: str, dropped: bool, inside: bool, hint: bool = False, hinted: bool = False) -> None:
         self.tag, self.label, self.dropped, self.inside = tag, label, dropped, inside
@@ -102,6 +102,8 @@ class Node:
         self.parts: list[str | Node] = []
         self.kids: list[Node] = []
         self.own = ""
+        #: Hash of the labels of the whole tree and its number of nodes, once ``_shape`` has told them.
+        self.shape, self.size = None, 1
 
 
 def _flags(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
@@ -127,8 +129,9 @@ def _flags(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return f"{tag}.{names.strip()}" if names else tag, dropped, main or role == "main", hint
 
 
-def parse(page: str) -> tuple[Node, Node | None]:
-    """Tree of blocks, and the outermost article or main part with the most text, if there is one."""
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """Tree of blocks, and the page's article: all articles of its main part without those of comments and the like, else
+    the outermost article or main part with the most text, else nothing."""
     page = _RAW.sub(" ", page) if "<" in page else page
     root = Node("html", "html", False, False)
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements, inline ones with the block they are in
@@ -241,14 +244,13 @@ def parse(page: str) -> tuple[Node, Node | None]:
         stack[-1][1].parts.append(page[at:])
     body = articles or mains or doubtful
     inner = [a for m in mains for a in _find(m, "article")] if mains and not articles else []
+    inner = [a for a in inner if not a.hinted] or inner
     body = inner or body
     if body is doubtful:  # teasers beside the text are not the article
         body = body if 2 * max(map(_length, body), default=0) >= _length(root) else []
     if any(n.hinted for n in _all(root)):
         _drop_hinted(root, set(map(id, body)))
-    if len(body) < 2:
-        return root, body[0] if body else None
-    return root, max(body, key=_length)
+    return root, body if len(body) < 2 or inner else [max(body, key=_length)]
 
 
 def _length(node: Node) -> int:
@@ -347,11 +349,35 @@ def _table(a: list[Node], b: list[Node]) -> list[list[int]]:
     return m
 
 
+def _shape(node: Node) -> int:
+    """Hash of the labels of the whole tree."""
+    if node.shape is None:
+        node.shape = hash((node.label, *map(_shape, node.kids)))
+        node.size = 1 + sum(k.size for k in node.kids)
+    return node.shape
+
+
+def _alike(a: list[Node], b: list[Node]) -> tuple[int, int]:
+    """How many trees of two ordered lists have equal labels throughout from the start, and how many more from the end.
+
+    To match such trees with each other is best, so long lists of paragraphs need no table."""
+    most = min(len(a), len(b))
+    front = back = 0
+    while front < most and _shape(a[front]) == _shape(b[front]):
+        front += 1
+    while back < most - front and _shape(a[-1 - back]) == _shape(b[-1 - back]):
+        back += 1
+    return front, back
+
+
 def matched(a: Node, b: Node) -> int:
     """Simple tree matching: nodes in the largest order-keeping match of two trees with equal root labels."""
     if a.label != b.label:
         return 0
-    return 1 + _table(a.kids, b.kids)[-1][-1]
+    x, y = a.kids, b.kids
+    front, back = _alike(x, y)
+    same = sum(k.size for k in x[:front]) + sum(k.size for k in x[len(x) - back :])
+    return 1 + same + _table(x[front : len(x) - back], y[front : len(y) - back])[-1][-1]
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -362,8 +388,12 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
         pairs.append((x, y))
         if not x.kids or not y.kids:
             continue
-        m = _table(x.kids, y.kids)
-        i, j = len(x.kids), len(y.kids)
+        front, back = _alike(x.kids, y.kids)
+        todo += zip(x.kids[:front], y.kids[:front])
+        todo += zip(x.kids[len(x.kids) - back :], y.kids[len(y.kids) - back :])
+        us, them = x.kids[front : len(x.kids) - back], y.kids[front : len(y.kids) - back]
+        m = _table(us, them)
+        i, j = len(us), len(them)
         while i and j:
             if m[i][j] == m[i - 1][j]:
                 i -= 1
@@ -371,7 +401,7 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                todo.append((x.kids[i], y.kids[j]))
+                todo.append((us[i], them[j]))
     return pairs
 
 
@@ -409,12 +439,12 @@ class _Wrappers(dict):
 
 def main_text(page: str, wrapper: Wrapper | None = None, constant: set[int] = frozenset()) -> str:
     """Blocks of the article joined by an empty line; the page without dropped parts if it has no article."""
-    root, article = parse(page)
+    root, articles = parse(page)
     template: set[int] = set()
     if wrapper is not None and constant:
         order(root)
         template = wrapper.template(root, constant)
-    return "\n\n".join(blocks(article or root, template))
+    return "\n\n".join(text for part in articles or [root] for text in blocks(part, template))
 
 
 def extract(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from html import unescape
 
 from hypothesis import given
@@ -130,3 +131,21 @@ def test_query_gives_the_article_of_every_page(spark):
         parts = (" ".join(unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", article))
         want = "\n\n".join(p for p in parts if p)
         assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, want, len(want))
+
+
+def test_all_articles_of_the_main_part_stay():
+    two = "<main><h2>News</h2><article><p>one</p></article><article><p>two two two</p></article></main>"
+    assert html_extract.main_text(two).split("\n\n") == ["one", "two two two"]
+    comment = "<main><article><p>one</p></article><article class='comment'><p>nice nice nice</p></article></main>"
+    assert html_extract.main_text(comment) == "one"
+
+
+def test_many_blocks_need_no_table():
+    body = lambda n, s: "<body><div class=n>notice</div>" + "".join(f"<p>{s} {k}</p>" for k in range(n)) + "<div class=f>foot</div>"
+    start = time.monotonic()
+    wrapper = html_extract.Wrapper(body(20_000, "a"))
+    root = html_extract.parse(body(30_000, "b"))[0]
+    html_extract.order(root)
+    same = sorted(k for k, equal in wrapper.equal(root) if equal)
+    assert [wrapper.nodes[k].own for k in same] == ["notice", "foot"]
+    assert time.monotonic() - start < 10
