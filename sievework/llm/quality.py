@@ -202,7 +202,11 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
-    """Trees from the labelled documents outside the held-out part; at most ``fit_rows`` of them."""
+    """Trees from the labelled documents outside the held-out part; at most ``fit_rows`` of them.
+
+    At most ``fit_rows`` labels are looked up; where ids occur in many documents, again only so many rows of
+    statistics, first by hash of the id, are learned from.
+    """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id"))
@@ -225,7 +229,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Tree
                 ["doc_id", "quality", "stats"],
             )
 
-    found = labelled.mapInArrow(run, "doc_id long, quality int, stats array<double>").toPandas()
+    measured = labelled.mapInArrow(run, "doc_id long, quality int, stats array<double>")
+    found = measured.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "stats").limit(fit_rows).toPandas()
     found = found.sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(found["stats"].tolist(), float).reshape(len(found), len(FEATURES))
     return fit(x, found["quality"].to_numpy(float))

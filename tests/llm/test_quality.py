@@ -79,3 +79,14 @@ def test_held_out_accuracy_and_no_leak_of_held_out_labels(spark):
 def test_bound_on_fit_rows(spark):
     docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
     assert quality.fit_on(docs, labels, fit_rows=300).scores(np.zeros((1, len(quality.FEATURES)))).shape == (1,)
+
+
+def test_the_bound_holds_for_repeated_ids(spark, monkeypatch):
+    seen = []
+    plain = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(x)) or plain(x, y))
+    learned = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.range(300).selectExpr(f"{learned}L AS doc_id", "concat('some words ', id % 7) AS text")
+    labels = spark.createDataFrame([(learned, 1), (learned, 0)], "doc_id long, quality int")
+    quality.fit_on(docs, labels, fit_rows=8)
+    assert seen == [8]
