@@ -9,15 +9,17 @@ ids of a range go straight to its file, and a lost task writes its own file agai
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import helper, id_and_text, slices, texts
+from sievework.llm.common import SLICE_ROWS, helper, id_and_text, slices, texts
 from sievework.llm.word_pieces import WordPieces
 
 SCHEMA = "doc_id long, n_tokens long, first long, ids array<int>"
@@ -25,8 +27,20 @@ SCHEMA = "doc_id long, n_tokens long, first long, ids array<int>"
 
 #: Pieces kept per Python worker; a full table is emptied.
 KEPT = 800_000
-#: Pieces that the library encodes in one call.
-_CALL = 4096
+#: Pieces that the library encodes in one call; long calls take longer for each piece.
+_CALL = 256
+#: Bytes of text that are encoded at a time, unless one text alone has more.
+SLICE_BYTES = 2 << 20
+
+
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in record batches of about ``SLICE_BYTES`` of text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        part = np.cumsum(size, dtype=np.int64) // SLICE_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for start, end in itertools.pairwise(cuts):
+            yield from slices([batch.slice(start, end - start)], 16 * SLICE_ROWS)
 
 
 class LibraryIds:
@@ -34,9 +48,10 @@ class LibraryIds:
 
     def __init__(self, path: str) -> None:
         self.words = WordPieces(path)
-        self.of_piece: dict[str, bytes] = {}
+        self.special = {p: i.to_bytes(4, "little") for p, i in self.words.special.items()}
+        self.of_piece = dict(self.special)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _new(self, pieces: list[str]) -> Iterator[bytes]:
         """Pieces are told apart by blanks, which no piece holds, and by the library's word numbers."""
         for start in range(0, len(pieces), _CALL):
             some = pieces[start : start + _CALL]
@@ -45,24 +60,55 @@ class LibraryIds:
             if len(np.unique(number)) != len(some):  # a piece that the library splits further
                 for p in some:
                     ids = self.words.tokenizer.encode(p, add_special_tokens=False).ids
-                    self.of_piece[p] = np.asarray(ids, "<u4").tobytes()
+                    yield np.asarray(ids, "<u4").tobytes()
                 continue
-            packed = np.asarray(found.ids, "<u4").tobytes()
-            ends = (np.searchsorted(number, np.arange(len(some) + 1)) * 4).tolist()
-            for k, p in enumerate(some):
-                self.of_piece[p] = packed[ends[k] : ends[k + 1]]
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            cuts = (np.searchsorted(number, np.arange(len(some) + 1)) * 4).tolist()
+            yield from (ids[a:b] for a, b in itertools.pairwise(cuts))
+
+    def _packed(self, pieces: list[str]) -> list[bytes]:
+        """Packed ids of pieces that differ from each other."""
+        found = list(map(self.of_piece.get, pieces))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        if len(self.of_piece) + len(new) > KEPT:
+            self.of_piece = dict(self.special)
+        names = [pieces[k] for k in new]
+        for k, p, ids in zip(new, names, self._new(names), strict=True):
+            found[k] = self.of_piece[p] = ids
+        return found
+
+    def _latin(self, many: list[bytes]) -> list[bytes]:
+        """The ids of texts in lower-case Latin-1, whose pieces are found and told apart all at once."""
+        letters = np.frombuffer(b"\n".join([*many, b"\n"]), np.uint8)
+        first, size, data = self.words.latin_pieces(letters)
+        # The pieces as one Arrow array, each different one looked up once.
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        coded = pieces.dictionary_encode()
+        which, names = coded.indices.to_numpy(), coded.dictionary
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(names).to_numpy())]).tolist()
+        joined = b"".join(names.to_numpy(zero_copy_only=False)).decode("latin-1")
+        packed = self._packed([joined[a:b] for a, b in itertools.pairwise(ends)])
+        # Every piece's ids in the order of the texts.
+        n = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        of_piece, begins = n[which], (np.cumsum(n) - n)[which]
+        ends = np.cumsum(of_piece)
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        ids = ids[np.repeat(begins - (ends - of_piece), of_piece) + np.arange(of_piece.sum())].tobytes()
+        lengths = np.fromiter(map(len, many), np.int64, len(many)) + 1
+        cuts = np.searchsorted(first, np.concatenate([[0], np.cumsum(lengths)]))
+        cuts = (np.concatenate([[0], ends])[cuts] * 4).tolist()
+        return [ids[a:b] for a, b in itertools.pairwise(cuts)]
 
     def encode(self, many: list[str]) -> list[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        split = [self.words.text_pieces(t) for t in many]
-        found = set().union(*split)
-        if len(self.of_piece) + len(found) > KEPT:
-            self.of_piece.clear()
-        special = self.words.special
-        self.of_piece.update((p, i.to_bytes(4, "little")) for p, i in special.items())
-        self._learn(list(found.difference(self.of_piece)))
-        get = self.of_piece.__getitem__
-        return [b"".join(map(get, ps)) for ps in split]
+        latin = [self.words.latin(t) if self.words.has_runs else None for t in many]
+        of_latin = iter(self._latin([t for t in latin if t is not None]))
+        split = [self.words.text_pieces(t) for t, low in zip(many, latin, strict=True) if low is None]
+        names = list(set().union(*split))
+        get = dict(zip(names, self._packed(names), strict=True)).__getitem__
+        of_other = (b"".join(map(get, ps)) for ps in split)
+        return [next(of_other if low is None else of_latin) for low in latin]
 
 
 def write_orc(
@@ -84,7 +130,7 @@ def write_orc(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tail = helper(LibraryIds, vocabulary), end_id.to_bytes(4, "little")
         before = 0
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             packed = own.encode(texts(batch, "text"))
             n = np.fromiter((len(p) // 4 + 1 for p in packed), np.int64, len(packed))
             ids = np.frombuffer(tail.join([*packed, b""]), "<i4")  # the end id after every document

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -22,6 +23,10 @@ KEPT_WORDS = 800_000
 #: Below this code point case folding and letter classes are the same in every Unicode version.
 _PLAIN_BELOW = "ɐ"
 
+#: The split pattern whose pieces ``latin_pieces`` finds for many texts at once.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 _WORD = re.compile(f"[^{WHITE}]+")
 
@@ -61,21 +66,53 @@ class WordPieces:
         splits = self.spec["pre_tokenizer"]["pretokenizers"]
         split = next(s["pattern"]["Regex"] for s in splits if s["type"] == "Split")
         self._pattern = regex.compile(split)
+        self.has_runs = split == _RUNS
+        self._kind = np.full(256, _OTHER, np.uint8)
         # The same pattern over Latin-1, where the classes are short enough for the faster module.
-        for name in (r"\p{L}", r"\p{N}", r"\s"):
+        for name, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER), (r"\s", _BLANK)):
             found = [chr(c) for c in range(256) if regex.match(f"[{name}]", chr(c))]
+            self._kind[list(map(ord, found))] = kind
             split = split.replace(name, re.escape("".join(found)))
         self._latin = re.compile(split)
 
+    def latin(self, text: str) -> bytes | None:
+        """The lower-case text in Latin-1; None if it has other letters or special tokens."""
+        if self._special is not None and "<" in text and self._special.search(text):
+            return None
+        try:  # lower case of Latin-1 is Latin-1, but other letters have lower cases in it too
+            text.encode("latin-1")
+            return text.lower().encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+
+    def latin_pieces(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-case Latin-1 that ends in two blanks: where its pieces start, their sizes, and all their letters.
+
+        A piece starts where the kind of letter changes and at every number. An apostrophe that starts a
+        piece takes the ending of a contraction with it; what follows is a piece again.
+        """
+        kind = self._kind[letters]
+        starts = kind == _NUMBER
+        starts[:1] = True
+        starts[1:] |= kind[1:] != kind[:-1]
+        at = np.flatnonzero(starts & (letters == ord("'")))
+        a, b = letters[at + 1], letters[at + 2]
+        short = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        long = ((b == ord("e")) & ((a == ord("r")) | (a == ord("v")))) | ((a == ord("l")) & (b == ord("l")))
+        ending = short + 2 * long
+        at, ending = at[ending > 0], ending[ending > 0]
+        starts[at + 1] = False
+        starts[at + 1 + ending] = True
+        first = np.flatnonzero(starts)
+        size = np.diff(first, append=len(letters))
+        some = kind[first] != _BLANK
+        return first[some], size[some], letters[kind != _BLANK]
+
     def text_pieces(self, text: str) -> list[str]:
         """Pieces of a whole text, special tokens as their own text."""
-        if self._special is None or "<" not in text or not self._special.search(text):
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:  # Latin-1 is its own normal form, and no white space is part of a piece
-                return self._latin.findall(text.lower())
+        low = self.latin(text)
+        if low is not None:  # Latin-1 is its own normal form, and no white space is part of a piece
+            return self._latin.findall(low.decode("latin-1"))
         return [p for w in words(text) for p, _ in self.pieces(w)]
 
     def pieces(self, word: str) -> list[tuple[str, bool]]:

@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.orc
 import pytest
 import tiktoken
@@ -48,6 +49,48 @@ def test_any_text_like_the_libraries(text):
     assert CODER.decode(CODER.encode(text)) == text.encode()
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text("'stmdrevlLESaé\xc9\xb5\xdf 1½.!-<|\n\x1c\x85\xa0\u0301\u212a\u0130", max_size=24), max_size=6))
+def test_texts_at_once_like_the_library(many):
+    """Contractions, odd blanks and letters whose lower case is in another alphabet, next to other texts."""
+    assert LIBRARY_IDS.encode(many) == [packed(library_ids(t)) for t in many]
+
+
+def test_ids_with_a_table_that_is_emptied(monkeypatch):
+    monkeypatch.setattr(token_orc, "KEPT", 5)
+    own = token_orc.LibraryIds(queries.WORD_BPE)
+    many = ["it's one two three four five six", "<|endoftext|> seven", "日本 eight", "it's one <|endoftext|>"]
+    for _ in range(2):
+        assert own.encode(many) == [packed(library_ids(t)) for t in many]
+
+
+def test_ids_are_looked_up_once_for_each_different_piece():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    own = token_orc.LibraryIds(queries.WORD_BPE)
+    own.of_piece = Counted(own.of_piece)
+    own.encode(["many words, "] * 1_000)
+    assert own.of_piece.asked <= 10
+
+
+def test_slices_hold_few_bytes_and_all_rows():
+    long = token_orc.SLICE_BYTES // 3
+    rows = ["x" * long, None, "", "y" * long, "z" * (4 * long), "a", "b" * long, *["c"] * 9_000]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows})
+    cut = [b.column(1).to_pylist() for b in token_orc.text_slices([batch, batch.slice(0, 0)])]
+    assert sum(cut, []) == rows
+    assert all(sum(len(t or "") for t in c) <= 2 * token_orc.SLICE_BYTES and len(c) <= 4096 for c in cut)
+
+
 @given(st.text("ab", min_size=1, max_size=40))
 def test_merges_of_a_small_vocabulary_like_trying_all_pairs(word):
     order = ["aa", "ab", "aab", "ba", "abab", "bb"]
