@@ -4,6 +4,7 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.sql import functions as F
 
 from sievework.models import forest, mllib, registry
@@ -125,12 +126,21 @@ def test_classes_fitted_in_turn_keep_no_rows_twice(spark, monkeypatch):
     found, kept = [], []
     persist = type(train).persist
     monkeypatch.setattr(type(train), "persist", lambda self, *a: kept.append(1) or persist(self, *a))
-    for many in (10**9, 0):
+    for fit in (mllib._fit, mllib._fit_in_turn):
         kept.clear()
-        monkeypatch.setattr(mllib, "MANY_ROWS", many)
-        out = mllib.fit_svm_rff(train, X, "label", 3, n_fourier=6).predict(test)
-        assert bool(kept) == bool(many)
-        found.append({r["id"]: r for r in out.collect()})
+        inner = LinearSVC(regParam=0.01, maxIter=5, standardization=False)
+        ovr = OneVsRest(classifier=inner, rawPredictionCol="rawPrediction", parallelism=3)
+        model = fit(ovr, train, X, "label", 3, "margin")
+        assert bool(kept) == (fit is mllib._fit)
+        found.append({r["id"]: r for r in model.predict(test).collect()})
     assert found[0].keys() == found[1].keys() and len(found[0]) == 200
-    assert np.mean([found[0][i]["prediction"] == found[1][i]["prediction"] for i in found[0]]) > 0.98
-    assert np.median([abs(found[0][i]["score_0"] - found[1][i]["score_0"]) for i in found[0]]) < 0.01
+    assert all(found[0][i]["prediction"] == found[1][i]["prediction"] for i in found[0])
+    assert max(abs(found[0][i][f"score_{c}"] - found[1][i][f"score_{c}"]) for i in found[0] for c in range(3)) < 1e-6
+
+
+def test_many_rows_are_fitted_in_turn(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(mllib, "_fit_in_turn", lambda *a: asked.append(a))
+    monkeypatch.setattr(mllib, "MANY_ROWS", 0)
+    mllib.fit_svm_rff(_rows(spark), X, "label", 3)
+    assert len(asked) == 1
